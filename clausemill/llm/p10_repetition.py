@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clausemill.llm.markup_text import groups, letters_of
 from clausemill.session import read
 
 #: A repeated run has at least so many letters or ideographs.
@@ -22,22 +23,12 @@ CANDIDATE = 0.13
 #: At most about so many documents are labelled to fit the trees; the sample is taken by a hash of doc_id.
 FIT_ROWS = 4000
 
-NOT_LETTERS = re.compile(r"[\W\d_²³¹¼½¾①-⓿Ⅰ-ↈ]+")
 SENTENCE = re.compile(r"[。！？；.!?;\n]+")
 FEATURES = ("log_letters", "repeated_10", "repeated_24", "repeated_sentences", "compressed")
 #: +1: the share can't fall as the feature grows; -1: can't grow; 0: free.
 MONOTONE = (0, 1, 1, 1, -1)
 
 
-def letters(text: str) -> str:
-    """The letters and ideographs of a text, without digits, spaces and punctuation."""
-    return NOT_LETTERS.sub("", text)
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
 def _window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each window of so many characters, by doubling: width log steps over the whole array."""
     if len(codes) < width:
@@ -60,7 +51,7 @@ def _window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
 
 def repeated_share(text: str) -> float:
     """The exact share of letters lying in runs of RUN or more that stood earlier in the document; 0 for short texts."""
-    codes = _codes(letters(text))
+    codes, _ = letters_of([text])
     hashes = _window_hashes(codes, RUN)
     if not len(hashes):
         return 0.0
@@ -89,10 +80,8 @@ def _repeats(codes: np.ndarray, starts: np.ndarray, width: int, step: int = 1) -
 
 def statistics(texts: list[str]) -> np.ndarray:
     """FEATURES of each document, one row each; the hashing and sorting run over all of them at once."""
-    plain = [letters(t) for t in texts]
-    lengths = np.array([len(p) for p in plain], np.int64)
-    starts = np.concatenate([[0], lengths.cumsum()[:-1]]) if len(texts) else np.empty(0, np.int64)
-    codes = _codes("".join(plain))
+    codes, bounds = letters_of(texts)
+    starts, lengths = bounds[:-1], np.diff(bounds)
     full = lengths > 0  # empty ones share their start with the next
     tens, wide = np.zeros(len(texts)), np.zeros(len(texts))
     if full.any():
@@ -103,24 +92,12 @@ def statistics(texts: list[str]) -> np.ndarray:
         pieces = SENTENCE.split(text)
         total = sum(map(len, pieces))
         sentences[k] = 1 - sum(map(len, set(pieces))) / total if total else 0
-        if plain[k]:
-            raw = plain[k].encode("utf-8", "surrogatepass")
+        if lengths[k]:
+            raw = codes[bounds[k] : bounds[k + 1]].astype(np.uint16).tobytes()
             packed[k] = len(zlib.compress(raw, 1)) / len(raw)
     return np.stack([np.log1p(lengths), tens, wide, sentences, packed], 1)
 
 
-def _groups(texts: list[str], most: int = 1_000_000) -> Iterator[slice]:
-    """Slices of so many characters, to bound the arrays' memory."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= most:
-            yield slice(start, k + 1)
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 @dataclass
 class Trees:
     """Complete binary trees in arrays: node i has children 2i+1 and 2i+2, leaves hold values."""
@@ -203,7 +180,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...] = MONOTONE
 
 def _statistics_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for part in _groups(list(batch["text"])):
+        for part in groups(list(batch["text"])):
             texts = list(batch["text"][part])
             rows = np.column_stack([statistics(texts), [repeated_share(t) for t in texts]])
             yield pd.DataFrame(rows, columns=[*FEATURES, "share"])
@@ -230,7 +207,7 @@ def score_repetition(documents: DataFrame, model: Trees) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             everything = list(batch["text"].fillna(""))
-            for part in _groups(everything):
+            for part in groups(everything):
                 texts = everything[part]
                 predicted = model.predict(statistics(texts))
                 share = [repeated_share(t) if p >= CANDIDATE else None for t, p in zip(texts, predicted)]
