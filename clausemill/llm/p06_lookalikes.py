@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from clausemill.session import read
 
@@ -66,7 +66,7 @@ DEVIATING = "|".join(KINDS.values())
 PIECE_ENDS = r"[ \n\r\t，。；：、（）《》]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
     """Letters with combining accents in composed form; only run on the classes' members."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
