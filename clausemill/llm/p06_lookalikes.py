@@ -46,8 +46,15 @@ TO = FULL_WIDTH_AS + CYRILLIC_AS + GREEK_AS[: _CAPITALS - 1] + "o" + " " * len(S
 
 
 def _set(chars: str) -> str:
-    """A Java character class; single code points, so that the order of the table doesn't matter."""
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(set(chars))) + "]"
+    """A Java character class of as few ranges as possible: every range is tested in turn."""
+    codes = sorted(map(ord, set(chars)))
+    ranges: list[list[int]] = []
+    for c in codes:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 COMBINING = r"[\p{L}][\x{300}-\x{36F}]"
@@ -62,6 +69,8 @@ KINDS = {
     "lookalike": f"{_set(LOOKALIKES)}|{SIGN_AS_LETTER}",
 }
 DEVIATING = "|".join(KINDS.values())
+#: Passed by every deviating text and by few others, at one class test a character.
+SUSPECT = "[^\\x00-\\x7F\\x{3001}\\x{3002}\\x{4E00}-\\x{9FFF}\\x{FF08}\\x{FF09}\\x{FF0C}\\x{FF1A}\\x{FF1B}\\x{B2}\\x{B1}\\x{2103}\\x{2264}\\x{FF5E}]"
 #: Pieces end at line ends, plain spaces and Chinese punctuation, which are proper signs.
 PIECE_ENDS = r"[ \n\r\t，。；：、（）《》]+"
 
@@ -83,8 +92,8 @@ def folded(text: Column) -> Column:
 
 def canonical_pieces(rows: DataFrame) -> DataFrame:
     """(src_table, row_id, text) -> src_table, row_id, piece, canonical for each distinct deviating piece of a row."""
-    pieces = F.filter(F.array_distinct(F.split("text", PIECE_ENDS)), lambda p: p.rlike(DEVIATING))
-    found = rows.filter(F.col("text").rlike(DEVIATING)).select("src_table", "row_id", F.explode(pieces).alias("piece"))
+    pieces = F.filter(F.array_distinct(F.split("text", PIECE_ENDS)), lambda p: p.rlike(SUSPECT) & p.rlike(DEVIATING))
+    found = rows.filter(F.col("text").rlike(SUSPECT)).select("src_table", "row_id", F.explode(pieces).alias("piece"))
     members = found.select("piece").distinct().withColumn("folded", folded(F.col("piece")))
     keyed = members.withColumn("key", F.collate("folded", "UNICODE"))
     signs = F.length(F.regexp_replace("folded", f"{COMBINING}|{KINDS['invisible']}", "")) - F.length("folded")
