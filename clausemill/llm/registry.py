@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p01_scans", "p02_markup", "p03_canonical", "p04_frequency", "p05_distinctive", "p06_lookalikes", "p07_split", "p08_leakage", "p10_repetition")
+MODULES = ("p01_scans", "p02_markup", "p03_canonical", "p04_frequency", "p05_distinctive", "p06_lookalikes", "p07_split", "p08_leakage", "p09_mixing", "p10_repetition")
 
 
 def queries() -> dict:
