@@ -123,11 +123,22 @@ def fit_rates(groups: DataFrame, targets: np.ndarray, repeats: np.ndarray) -> tu
     largest at which every source that has documents can reach its share within its repeats.
     """
     k = len(targets)
-    at = lambda column, j: F.get(column, F.lit(j))
-    mass = np.array(groups.agg(*[F.sum(F.col("tokens") * at("posterior", j)) for j in range(k)]).first(), float)
-    mass = np.nan_to_num(mass)
-    hard = np.array(groups.filter("whole").agg(*[F.sum(F.col("tokens") * at("posterior", j)) for j in range(k)]).first(), float)
-    hard = np.nan_to_num(hard)
+
+    def sums(rate, where: str = "true") -> np.ndarray:
+        """Tokens per source, each document counting by its rate: partial sums by task, added up here."""
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(k)
+            for batch in batches:
+                if len(batch):
+                    p = np.stack(batch["posterior"].to_numpy())
+                    out += (batch["tokens"].to_numpy(float) * rate(p, batch["cap"].to_numpy(float))) @ p
+            yield pd.DataFrame({"sums": [out.tolist()]})
+
+        parts = groups.filter(where).mapInPandas(partial, "sums array<double>").collect()  # one row a task
+        return np.sum([p.sums for p in parts] or [np.zeros(k)], axis=0)
+
+    mass, hard = sums(lambda p, cap: 1.0), sums(lambda p, cap: 1.0, "whole")
     reachable = (hard > 0) & (targets > 0)
     if not reachable.any():
         return np.zeros(k), 0.0
@@ -136,11 +147,7 @@ def fit_rates(groups: DataFrame, targets: np.ndarray, repeats: np.ndarray) -> tu
     wanted = share * total
     lam = np.where(reachable, wanted / np.maximum(mass, 1), 0)
     for _ in range(ROUNDS):
-        inner = F.lit(0.0)
-        for j in range(k):
-            inner = inner + at("posterior", j) * float(lam[j])
-        used = F.col("tokens") * F.least(F.greatest(inner, F.lit(0.0)), F.col("cap"))
-        now = np.nan_to_num(np.array(groups.agg(*[F.sum(used * at("posterior", j)) for j in range(k)]).first(), float))
+        now = sums(lambda p, cap, lam=lam: np.clip(p @ lam, 0, cap))
         off = np.where(reachable, wanted - now, 0)
         if np.abs(off).max() <= 1e-4 * total:
             break
