@@ -58,7 +58,7 @@ def f9_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f10_front_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without what stands before the first chapter, if that is near the start."""
-    found = F.regexp_instr("text", F.lit(r"(?m)^# 1 总则$"))
+    found = F.when(F.col("text").startswith("# 1 总则\n"), 1).otherwise(F.instr("text", "\n# 1 总则\n") + 1)
     near = (found > 1) & (found <= F.least(F.lit(500), F.length("text")))
     return _files(spark, sf_dir).select("file", F.when(near, F.length("text") - found + 1).otherwise(F.length("text")).alias("kept"))
 
