@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 K1, B = 1.5, 0.75
@@ -48,7 +50,7 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def corpus_stats(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Number of rows, and their mean length in tokens."""
-    held = rows.select(F.size(token_array(F.col(text))).alias("dl")).filter(f"dl >= {LEAST_TOKENS}")
+    held = rows.select(token_count(F.col(text)).alias("dl")).filter(f"dl >= {LEAST_TOKENS}")
     return held.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
@@ -57,21 +59,33 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens of token_array, counted without building them."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_count(lower, F.lit("[a-z0-9]{2,}")) + F.regexp_count(lower, F.lit("[一-鿿](?=[一-鿿])"))
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often token_array holds a term, counted in the text."""
+    if re.fullmatch("[a-z0-9]{2,}", term):
+        return F.regexp_count(F.lower(text), F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
+    return F.regexp_count(text, F.lit(f"{term[0]}(?={term[1]})")) if re.fullmatch("[一-鿿]{2}", term) else F.lit(0)
+
+
 def bm25(rows: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """BM25 score of every row that holds a query term.
 
-    Only the query's terms are counted: each row gives its length and their frequencies in one pass, without an index.
+    The text is scanned once for its length and the terms' frequencies; only these numbers go on to the corpus's sums
+    and the scores.
     """
-    wanted = F.array(*[F.lit(t) for t in terms])
-    held = rows.select(key, token_array(F.col(text)).alias("toks")).filter(F.size("toks") >= LEAST_TOKENS)
-    counted = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.size(F.filter("toks", lambda x: x == t)).alias("tf")))
-    held = held.select(key, F.size("toks").alias("dl"), F.filter(counted, lambda c: c["tf"] > 0).alias("hits"))
-    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = held.select(key, "dl", F.inline("hits"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a query term
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy(key).agg(F.sum(part).alias("score"))
+    held = rows.select(key, token_count(F.col(text)).alias("dl"), *[term_count(F.col(text), t).alias(f"tf{k}") for k, t in enumerate(terms)]).filter(F.col("dl") >= LEAST_TOKENS)
+    sums = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    scored, score = held.crossJoin(F.broadcast(sums)), F.lit(0.0)  # one row
+    for k in range(len(terms)):
+        tf = F.col(f"tf{k}")
+        part = idf(F.col("n"), F.col(f"df{k}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score = score + F.when(tf > 0, part).otherwise(0.0)
+    return scored.withColumn("score", score).filter("score > 0").select(key, "score")
 
 
 def contained(rows: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.operators import graph as ops, lexical
-from clausemill.session import materialise, read
+from clausemill.session import materialise, read, read_wide
 
 SEEDS = {"剪力墙": 0.5, "模板支架": 0.3, "脚手架": 0.1, "土钉墙": 0.1}
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
+    return read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +42,18 @@ def d6e_term_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.term_edges(counts, F.col("n_files")).withColumn("w", F.round("w", 6))
 
 
-def a10_file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean frequency of a term in the sections of a file that hold it, times its idf."""
-    sections = _heading_hits(spark, sf_dir).groupBy("file", "term").agg(F.count("*").alias("held"))
-    n = _files(spark, sf_dir).agg(F.count("*").alias("n_files"))
+def _scores(headings: DataFrame, frequencies: DataFrame, n: DataFrame) -> DataFrame:
+    sections = headings.groupBy("file", "term").agg(F.count("*").alias("held"))
     df = F.count("*").over(ops.Window.partitionBy("term"))
-    rows = _frequencies(spark, sf_dir).join(sections, ["file", "term"], "left").crossJoin(F.broadcast(n))
+    rows = frequencies.join(sections, ["file", "term"], "left").crossJoin(F.broadcast(n))
     return rows.select("term", "file", F.round(F.col("tf") / F.coalesce("held", F.lit(1)) * F.log(F.col("n_files") / df), 6).alias("score"))
 
 
+def a10_file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean frequency of a term in the sections of a file that hold it, times its idf."""
+    return _scores(_heading_hits(spark, sf_dir), _frequencies(spark, sf_dir), _files(spark, sf_dir).agg(F.count("*").alias("n_files")))
+
+
 def d6f_bm25_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores as edges."""
     return ops.bm25_edges(a10_file_scores(spark, sf_dir), d6e_term_edges(spark, sf_dir), d6d_heading_edges(spark, sf_dir)).withColumn("w", F.round("w", 6))
@@ -73,11 +76,14 @@ def d6b_bigram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = (d6a_cooc_edges, d6b_bigram_edges, d6d_heading_edges, d6e_term_edges, d6f_bm25_edges)
-    out = None
-    for f in families:
-        out = f(spark, sf_dir) if out is None else out.unionByName(f(spark, sf_dir))
-    return out
+    """All families, from term counts that are made once: they are small, the texts aren't."""
+    headings, frequencies = materialise(_heading_hits(spark, sf_dir).drop("heading")), materialise(_frequencies(spark, sf_dir))
+    n = _files(spark, sf_dir).agg(F.count("*").alias("n_files"))
+    heading = ops.heading_edges(headings.groupBy("term", "file").agg(F.count("*").alias("n")))
+    term = ops.term_edges(frequencies.crossJoin(F.broadcast(n)), F.col("n_files")).withColumn("w", F.round("w", 6))
+    body = ops.bm25_edges(_scores(headings, frequencies, n), term, heading).withColumn("w", F.round("w", 6))
+    cooc = ops.cooccurrence_edges(lexical.cooccurrence(headings, "section_id", "term"))
+    return cooc.unionByName(d6b_bigram_edges(spark, sf_dir)).unionByName(heading).unionByName(term).unionByName(body)
 
 
 def d6_edge_families(spark: SparkSession, sf_dir: str) -> DataFrame:

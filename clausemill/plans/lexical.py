@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.operators import lexical
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 TERMS = ["混凝", "养护", "脚手", "concrete", "shall"]
 STOP = ["应", "不应", "shall", "the", "be", "of", "and", "for", "to", "in"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_wide(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "read_clause_full").select("rec_id", "clause_text").filter("clause_text is not null and clause_text <> ''").distinct()
+    return read_wide(spark, sf_dir, "read_clause_full").select("rec_id", "clause_text").filter("clause_text is not null and clause_text <> ''").distinct()
 
 
 def a1_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def f36_char_entropy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter4_short_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of too few tokens to be indexed."""
-    return _clauses(spark, sf_dir).select("rec_id", F.size(lexical.token_array(F.col("clause_text"))).alias("n")).filter(f"n < {lexical.LEAST_TOKENS}")
+    return _clauses(spark, sf_dir).select("rec_id", lexical.token_count(F.col("clause_text")).alias("n")).filter(f"n < {lexical.LEAST_TOKENS}")
 
 
 def filter5_generic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

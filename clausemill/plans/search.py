@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clausemill.functions.codes import extract_standard
 from clausemill.operators import lexical, search as ops, sections
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 QUESTIONS = {1: "剪力墙 垂直度", 2: "GB/T 72261 第3.1.1条", 3: "冷藏库围护材料试验方法标准", 4: "JGJ 5610 绿色建造", 5: "模板支架 沉降量 限值", 6: "concrete grade C40"}
 
@@ -21,8 +21,8 @@ def _coded(files: DataFrame) -> DataFrame:
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with their text, by true positions."""
-    index = read(spark, sf_dir, "kb_search_index").select("file", "sid", "heading", "pos").distinct().filter("heading is not null")
-    files = _coded(read(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"]))
+    index = read_wide(spark, sf_dir, "kb_search_index").select("file", "sid", "heading", "pos").distinct().filter("heading is not null")
+    files = _coded(read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"]))
     per_file = index.groupBy("file").agg(F.array_sort(F.collect_set(F.struct("pos", "sid", "heading"))).alias("all"))
     stops = F.concat(F.slice(F.transform("all", lambda s: s["pos"]), 2, F.size("all")), F.array(F.length("text")))
     spans = F.zip_with("all", stops, lambda s, z: F.struct(s["sid"].alias("sid"), s["heading"].alias("heading"), s["pos"].alias("pos"), (z - s["pos"]).alias("length")))
@@ -44,7 +44,7 @@ def w7_best_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body scores of files, for the questions' tokens."""
-    files = read(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
+    files = read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
     out = None
     for qid, terms in ((1, ["垂直", "直度"]), (5, ["模板", "限值"])):
         part = lexical.bm25(files, "file", "text", terms).select(F.lit(qid).alias("qid"), "file", F.round("score", 4).alias("score"))
@@ -66,11 +66,11 @@ def x1_aligned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d4_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by title."""
-    return ops.title_lookup(_questions(spark), read(spark, sf_dir, "kb_md").select("file", "title").distinct())
+    return ops.title_lookup(_questions(spark), read_wide(spark, sf_dir, "kb_md").select("file", "title").distinct())
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = read(spark, sf_dir, "kb_search_index").select("file", "heading", "pos", "type").distinct()
+    index = read_wide(spark, sf_dir, "kb_search_index").select("file", "heading", "pos", "type").distinct()
     return _coded(sections.clauses(index, "file")).select("code", "number", "file", "heading")
 
 
@@ -154,7 +154,7 @@ def f31_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f32_heading_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexed headings by factor."""
-    rows = read(spark, sf_dir, "kb_search_index").select("section_id", "heading").distinct().filter("heading is not null")
+    rows = read_wide(spark, sf_dir, "kb_search_index").select("section_id", "heading").distinct().filter("heading is not null")
     return rows.groupBy(ops.heading_factor(F.col("heading")).alias("factor")).agg(F.count("*").alias("n"))
 
 
@@ -166,7 +166,7 @@ def filter1_must_must_not(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter3_name_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a question and a title that share half the question's words, one of them not generic."""
     asked = _questions(spark).select("qid", F.split("text", " ").alias("ws"))
-    titles = read(spark, sf_dir, "kb_md").select("title").distinct().filter("title is not null")
+    titles = read_wide(spark, sf_dir, "kb_md").select("title").distinct().filter("title is not null")
     pairs = titles.crossJoin(F.broadcast(asked)).withColumn("hit", F.filter("ws", lambda w: F.col("title").contains(w)))
     special = F.exists("hit", lambda w: ~w.isin("标准", "规范", "规程"))
     return pairs.filter((F.size("hit") * 2 >= F.size("ws")) & special).select("qid", "title")
@@ -185,7 +185,7 @@ def filter7_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k4_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings suggested for what was typed: beginning with it, then holding it; shortest first, eight at most."""
     typed = "剪力墙"
-    rows = read(spark, sf_dir, "kb_search_index").select(F.regexp_replace("heading", r"^[\d.]+\s+", "").alias("text")).distinct().filter("text is not null")
+    rows = read_wide(spark, sf_dir, "kb_search_index").select(F.regexp_replace("heading", r"^[\d.]+\s+", "").alias("text")).distinct().filter("text is not null")
     tier = F.when(F.col("text").startswith(typed), 0).when(F.col("text").contains(typed), 2)
     return rows.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.length("text"), "text").limit(8)
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.functions.codes import extract_standard
 from clausemill.operators import sections as ops
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
+    return read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_wide(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table whose rows are dear to work on: where its files give fewer tasks than there are cores, it is spread.
+
+    Only tables of a few files are shuffled by this; large ones are read as they are split.
+    """
+    df = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder the cluster names in spark.checkpoint.dir.
 
