@@ -12,7 +12,7 @@ from clausemill.session import read
 
 UNMATCHED = "UNMATCHED"
 #: Least cosine of a candidate, by view, and least lead over another entry that agrees as well.
-LEAST = {"number": 0.2, "name": 0.4}
+LEAST = {"number": 0.03, "name": 0.3}
 MARGIN = 0.02
 #: Characters of a name that may be changed.
 NAME_SLIPS = 2
@@ -49,7 +49,9 @@ def parsed(values: pd.Series) -> pd.DataFrame:
 
 def grams(number: str | None, name: str | None) -> list[tuple[str, str]]:
     """Distinct character n-grams of both views: pairs of a number's signs with its ends, triples of a name's."""
-    out = [("number", f"^{number}$"[k : k + 2]) for k in range(len(number) + 1)] if number else []
+    number = number.translate(LETTERS_AS_DIGITS) if number else None
+    # the sorted signs find numbers with two swapped, which may share no inner pair
+    out = [("number", f"^{number}$"[k : k + 2]) for k in range(len(number) + 1)] + [("number", "#" + "".join(sorted(number)))] if number else []
     out += [("name", f"^{name}$"[k : k + 3]) for k in range(len(name))] if name else []
     return list(dict.fromkeys(out))
 
@@ -131,7 +133,10 @@ def map_to_list(values: DataFrame, entries: DataFrame) -> DataFrame:
     cosine = F.sum(F.col("w") * F.col("w") / F.col("value_norm") / F.col("entry_norm"))
     pairs = pairs.agg(cosine.alias("cosine"), F.first("v").alias("v"), F.first("e").alias("e"))
     near = F.when(F.col("view") == "number", LEAST["number"]).otherwise(LEAST["name"])
-    pairs = pairs.filter(F.col("cosine") >= near).groupBy("value", "entry").agg(F.max("cosine").alias("cosine"), F.first("v").alias("v"), F.first("e").alias("e"))
+    # candidates that can't agree are passed over before the exact comparison
+    close = lambda field, most: F.coalesce(F.levenshtein(F.col(f"v.{field}"), F.col(f"e.{field}"), most) >= 0, F.lit(False))
+    pairs = pairs.filter((F.col("cosine") >= near) & (close("number", 2) | close("name", NAME_SLIPS) | F.coalesce(F.col("v.name").contains(F.col("e.name")), F.lit(False))))
+    pairs = pairs.groupBy("value", "entry").agg(F.max("cosine").alias("cosine"), F.first("v").alias("v"), F.first("e").alias("e"))
     pairs = pairs.withColumn("how", agreements("v", "e")).filter("how is not null")
     ranked = F.array_sort(F.collect_list(F.struct("how", (-F.col("cosine")).alias("cost"), "entry")))
     best = pairs.groupBy("value").agg(ranked.alias("ranked"))  # as long as the list at most
