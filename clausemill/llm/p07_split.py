@@ -86,9 +86,12 @@ def long_sections(sections: DataFrame, texts: DataFrame) -> DataFrame:
     A section ends at the next larger pos of its file or at the text's end; sections and files delivered again count
     once, sections without pos or file text give nothing.
     """
-    known = sections.select("file", "section_id", "pos").filter("file is not null and pos is not null").distinct()
+    spark = sections.sparkSession
+    # one partitioning by file for both sides; its number is kept, as cutting costs more than its bytes tell
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    known = sections.select("file", "section_id", "pos").filter("file is not null and pos is not null").repartition(tasks, "file").distinct()
     per_file = known.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "section_id"))).alias("all"))
-    one = texts.select("file", "text").filter("text is not null").dropDuplicates(["file"])
+    one = texts.select("file", "text").filter("text is not null").repartition(tasks, "file").dropDuplicates(["file"])
     joined = one.join(per_file, "file")
     starts = F.array_distinct(F.transform("all", lambda s: s["pos"]))
     following = F.map_from_arrays(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.length("text").cast("int"))))
