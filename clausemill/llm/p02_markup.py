@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 # Elements of HTML.
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "div", "dl", "dd", "dt", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "figure"}
@@ -346,13 +346,13 @@ def remove_markup(rows: DataFrame) -> DataFrame:
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of every clause record; a record delivered twice counts once."""
-    rows = read(spark, sf_dir, "read_clause_full").select("rec_id", F.col("clause_text").alias("text"))
+    rows = read_wide(spark, sf_dir, "read_clause_full").select("rec_id", F.col("clause_text").alias("text"))
     return remove_markup(rows.dropDuplicates(["rec_id"]))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and the kinds of markup residue in them."""
-    rows = read(spark, sf_dir, "read_clause_full").select("rec_id", F.col("clause_text").alias("text"))
+    rows = read_wide(spark, sf_dir, "read_clause_full").select("rec_id", F.col("clause_text").alias("text"))
     return remove_markup(rows).select("rec_id", F.explode("kinds").alias("kind")).distinct()
 
 

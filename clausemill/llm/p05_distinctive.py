@@ -8,7 +8,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 #: Pseudo-counts that the prior spreads over the terms in proportion to their counts in the collection.
 PRIOR_MASS = 10.0
@@ -69,7 +69,7 @@ def distinctive_terms(records: DataFrame, terms: DataFrame) -> DataFrame:
 
 def p5_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z-scores of every listed term of every clause record."""
-    records = read(spark, sf_dir, "read_clause_full").select("rec_id", F.col("clause_text").alias("text"))
+    records = read_wide(spark, sf_dir, "read_clause_full").select("rec_id", F.col("clause_text").alias("text"))
     return distinctive_terms(records, read(spark, sf_dir, "term_map").select("term"))
 
 

@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 # Letters of other scripts that are drawn as the Latin letter beside them.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХѴаеѕіјорсухѵһԁԛԝӓӧӑӗёї"
@@ -132,7 +132,7 @@ def normalise_lookalikes(rows: DataFrame) -> DataFrame:
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries and clause texts as (src_table, row_id, text)."""
     queries = read(spark, sf_dir, "golden_queries").select(F.lit("golden_queries").alias("src_table"), F.col("query_id").alias("row_id"), F.col("query").alias("text"))
-    clauses = read(spark, sf_dir, "read_clause_full").select(F.lit("read_clause_full").alias("src_table"), F.col("rec_id").alias("row_id"), F.col("clause_text").alias("text"))
+    clauses = read_wide(spark, sf_dir, "read_clause_full").select(F.lit("read_clause_full").alias("src_table"), F.col("rec_id").alias("row_id"), F.col("clause_text").alias("text"))
     return queries.unionByName(clauses)
 
 

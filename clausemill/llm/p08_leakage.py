@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.llm.markup_text import groups, plain_of, text_of
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 #: Characters of a template window, and how many windows of one item a document must share to be looked at.
 WINDOW, LEAST_WINDOWS = 8, 6
@@ -200,7 +200,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with answers of the held-out items, and how they stand there."""
     items = read(spark, sf_dir, "held_out_queries").select("id", F.col("truth_answer").alias("text"))
-    return leaked_items(read(spark, sf_dir, "documents"), items)
+    return leaked_items(read_wide(spark, sf_dir, "documents"), items)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

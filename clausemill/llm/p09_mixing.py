@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clausemill.llm.markup_text import letters_of
-from clausemill.session import materialise, read
+from clausemill.session import materialise, read, read_wide
 
 #: Vocabulary file of a public tokenizer; sizes are counted in its tokens.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -232,12 +232,12 @@ def mix(documents: DataFrame, mixture: DataFrame, path: str = TOKENIZER) -> tupl
 
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the mixture and how often each is used."""
-    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_mix"))[0]
+    return mix(read_wide(spark, sf_dir, "documents"), read(spark, sf_dir, "source_mix"))[0]
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares reached by source, and the targets missed."""
-    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_mix"))[1]
+    return mix(read_wide(spark, sf_dir, "documents"), read(spark, sf_dir, "source_mix"))[1]
 
 
 QUERIES = {"p9_selection": p9_selection, "p9_report": p9_report}

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.llm.markup_text import groups, letters_of
-from clausemill.session import read
+from clausemill.session import read, read_wide
 
 #: A repeated run has at least so many letters or ideographs.
 RUN = 10
@@ -218,7 +218,7 @@ def score_repetition(documents: DataFrame, model: Trees) -> DataFrame:
 
 def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of repeated content of every document."""
-    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = read_wide(spark, sf_dir, "documents").select("doc_id", "text")
     return score_repetition(documents, fit_repetition(documents))
 
 
