@@ -121,11 +121,12 @@ def map_to_list(values: DataFrame, entries: DataFrame) -> DataFrame:
     Every distinct non-blank value gives one row, with UNMATCHED where no entry agrees or where two agree alike. Values
     are looked up once however many rows hold them; the candidates come from the inverted index alone.
     """
+    entries = entries.select("standard_code", "standard_name").filter("standard_code is not null")
     source = entries.select(F.col("standard_code").alias("entry"), parsed(F.concat_ws(" ", "standard_code", "standard_name")).alias("e"))
     index = source.withColumn("g", F.explode(gram_list("e.number", "e.name"))).select("entry", "e", "g.*")
     size = entries.count()  # a list's length
     weights = index.groupBy("view", "gram").agg(F.log(1 + F.lit(float(max(size, 1))) / F.count("*")).alias("w"))
-    values = values.filter("trim(value) <> ''").distinct().withColumn("v", parsed("value"))
+    values = values.select("value").filter("trim(value) <> ''").distinct().withColumn("v", parsed("value"))
     typed = values.withColumn("g", F.explode(gram_list("v.number", "v.name"))).select("value", "v", "g.*")
     typed = _weighted(typed, weights, "value").select("value", "v", "view", "gram", F.col("w"), F.col("norm").alias("value_norm"))
     listed = _weighted(index, weights, "entry").select("entry", "e", "view", "gram", F.col("norm").alias("entry_norm"))

@@ -115,6 +115,7 @@ def normalise_lookalikes(rows: DataFrame) -> DataFrame:
     A row delivered twice counts once, null texts stay null, texts without deviation come back as they are with an empty
     kinds. A piece that stands in many rows is joined by AQE's skew join.
     """
+    rows = rows.select("src_table", "row_id", "text")
     pieces = canonical_pieces(rows)
     per_row = pieces.groupBy("src_table", "row_id").agg(
         F.map_from_entries(F.collect_set(F.struct("piece", "canonical"))).alias("pairs"),

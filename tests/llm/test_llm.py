@@ -184,3 +184,22 @@ def test_p10_scores(spark):
     docs = spark.createDataFrame([(1, "夜间应开启红色示警灯。" * 30), (2, "".join(map(chr, range(0x4E00, 0x4F00)))), (3, None), (4, "")], "doc_id bigint, text string")
     got = {r.doc_id: r.share for r in p10_repetition.score_repetition(docs, p10_repetition.fit_repetition(docs)).collect()}
     assert got[1] > 0.9 and not got[2] and not got[3] and not got[4]
+
+
+def test_extra_columns_and_nulls(spark):
+    """Columns that bear the names operators use inside don't disturb them, and null keys and texts don't break them."""
+    extra = lambda df: df.withColumns({c: F.lit("x") for c in ("kinds", "n", "share", "v", "e", "cosine", "pairs", "piece", "tokens", "posterior", "bucket", "predicted", "all", "record_n", "token")})
+    texts = extra(spark.createDataFrame([(1, "采用Nӧrvіk构件"), (None, "甲"), (2, None)], "rec_id bigint, text string"))
+    assert p02_markup.remove_markup(texts).count() == 3
+    terms = spark.createDataFrame([("甲",), (None,)], "term string")
+    assert p05_distinctive.distinctive_terms(texts, terms).count() == 0
+    rows = texts.withColumns({"src_table": F.lit("t"), "row_id": F.col("rec_id"), "codes": F.array(F.lit(None).cast("string")), "names": F.array(F.lit(None).cast("string"))})
+    assert {r.text for r in p06_lookalikes.normalise_lookalikes(rows).collect()} == {"采用Nörvik构件", "甲", None}
+    assert p01_scans.repair(rows).count() == 2
+    entries = extra(spark.createDataFrame([("GBT72261", None), (None, "甲")], "standard_code string, standard_name string"))
+    assert p03_canonical.map_to_list(extra(spark.createDataFrame([("GB/T 72261",), (None,)], "value string")), entries).first().standard_code == "GBT72261"
+    docs = extra(spark.createDataFrame([(None, "甲乙丙丁" * 20), (1, None)], "doc_id bigint, text string"))
+    assert p08_leakage.leaked_items(docs, extra(spark.createDataFrame([("a", "甲乙丙丁" * 12)], "id string, text string"))).count() == 1
+    assert p10_repetition.score_repetition(docs, p10_repetition.fit_repetition(docs)).count() == 2
+    sections = extra(spark.createDataFrame([("f", 1, 0), ("f", None, 0)], "file string, section_id bigint, pos int"))
+    assert p07_split.split_sections(sections, extra(spark.createDataFrame([("f", "甲" * 2100)], "file string, text string"))).filter("piece = 1").count() == 2
