@@ -30,9 +30,9 @@ def bigram_edges(top: DataFrame) -> DataFrame:
     return top.select(F.col("w1").alias("src"), F.col("w2").alias("dst"), (F.col("prob") * BIGRAM).alias("w"), F.lit("bigram").alias("etype"))
 
 
-def semantic_edges(similar: DataFrame) -> DataFrame:
-    """(src, dst, cos) -> weak edges where the vectors are close."""
-    return both_ways(similar.filter(F.col("cos") >= SEMANTIC_FLOOR).select("src", "dst", (F.col("cos") * SEMANTIC).alias("w")), "semantic")
+def semantic_edges(similar: DataFrame, floor: float = SEMANTIC_FLOOR) -> DataFrame:
+    """(src, dst, cos), each pair once -> weak edges where the vectors are close."""
+    return both_ways(similar.filter(F.col("cos") >= floor).select("src", "dst", (F.col("cos") * SEMANTIC).alias("w")), "semantic")
 
 
 def heading_edges(counts: DataFrame) -> DataFrame:

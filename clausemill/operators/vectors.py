@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of a block: a pair of blocks is multiplied in one task, in about 64 MB for 1024 dimensions.
 BLOCK = 2048
+#: Rows of a block whose pairs leave a task at once.
+STRIP = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,6 +58,29 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float) -> DataFr
     return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
 
 
+def close_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Every pair of rows as close as `least`, exact, once: src < dst, and cos.
+
+    All rows meet all in blocks, each two blocks once; only the pairs that are close leave a task. A repeated vec_id
+    counts once, rows without vector are left out.
+    """
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for same, q, r in zip(batch["same"], batch["q"], batch["r"]):
+                ri, rv = np.array([x["vec_id"] for x in r]), np.stack([x["embedding"] for x in r]).astype(float)
+                for at in range(0, len(q), STRIP):
+                    strip = q[at : at + STRIP]
+                    qi = np.array([x["vec_id"] for x in strip])
+                    sims = np.round(np.stack([x["embedding"] for x in strip]).astype(float) @ rv.T, 4)
+                    i, j = np.nonzero((sims >= least) & ((qi[:, None] < ri[None, :]) if same else True))
+                    yield pd.DataFrame({"src": np.minimum(qi[i], ri[j]), "dst": np.maximum(qi[i], ri[j]), "cos": sims[i, j]})
+
+    once = rows.dropDuplicates(["vec_id"])
+    pairs = _blocks(once, "q").crossJoin(_blocks(once, "r")).filter("q_block <= r_block")
+    return pairs.select((F.col("q_block") == F.col("r_block")).alias("same"), "q", "r").mapInPandas(multiply, "src bigint, dst bigint, cos double")
+
+
 def centroids(rows: DataFrame, group: str) -> DataFrame:
     """Mean vector of each group, by dimension."""
     return rows.select(group, F.posexplode("embedding").alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
