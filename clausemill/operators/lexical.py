@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clausemill.session import materialise
+
 K1, B = 1.5, 0.75
 #: A term with more postings than this is generic; a section of fewer tokens than LEAST_TOKENS isn't indexed.
 MOST_POSTINGS, LEAST_TOKENS = 5000, 5
@@ -88,6 +90,21 @@ def bm25(rows: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return scored.withColumn("score", score).filter("score > 0").select(key, "score")
 
 
+def bm25_asked(rows: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """BM25 score of every row for every query it shares a token with: qid, key, score.
+
+    asked: (qid, text), the whole set of queries, of which every distinct token counts. The texts' postings are looked up
+    once; a row's postings are brought together before they meet the queries, so scores aren't shuffled.
+    """
+    wanted = asked.select("qid", F.explode(F.array_distinct(token_array(F.col("text")))).alias("term"))
+    hits = materialise(postings(rows, key, text).join(F.broadcast(wanted.select("term").distinct()), "term"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(corpus_stats(rows, key, text))).select("qid", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+    scored = hits.repartition(key).join(F.broadcast(weights), "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return scored.groupBy("qid", key).agg(F.sum(part).alias("score"))
+
+
 def contained(rows: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
     """Rows joined with the words their text contains; the words, a list of fixed size, go along as one array."""
     listed = words.agg(F.array_sort(F.collect_set(word)).alias("listed"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions.codes import code_token, normalize_code
@@ -42,19 +46,49 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(words, F.array(code)), lambda w: w != ""))
 
 
+def finder(asked: list[tuple[int, list[str]]]) -> Callable[[Column], Column]:
+    """Finds the keywords that a text contains, and the queries they belong to, by an index of the keywords' first two signs.
+
+    A text costs one look at each of its distinct pairs of signs, and one at each keyword that begins with one of them.
+    """
+    owners, heads = defaultdict(list), defaultdict(list)
+    for qid, words in asked:
+        for word in words:
+            owners[word].append(qid)
+    for word in owners:
+        heads[word[:2]].append(word)
+    owners, heads = dict(owners), dict(heads)
+
+    @F.pandas_udf("found array<string>, qids array<bigint>")
+    def find(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            text = text or ""
+            begun = heads.keys() & {*map("".join, zip(text, text[1:])), *text}
+            found = [word for head in begun for word in heads[head] if word in text]
+            out.append((found, list({qid for word in found for qid in owners[word]})))
+        return pd.DataFrame(out, columns=["found", "qids"])
+
+    return find.asNondeterministic()  # so that it isn't run again for each use of what it finds
+
+
 def keyword_search(queries: DataFrame, sections: DataFrame) -> DataFrame:
     """Best section of every file for every query, by keywords: qid, file, sid, heading, hits, score.
 
-    queries: (qid, text), a caller's list, broadcast; sections: (file, code, sid, heading, segment, length). Everything
-    is scored where the section is, and only the best of each file is shuffled.
+    queries: (qid, text), a caller's list, broadcast; sections: (file, code, sid, heading, segment, length). Keywords are
+    found through an index of them, so that only queries with a hit are scored; sections are brought together by file
+    without their text before that, and scores aren't shuffled.
     """
     asked = queries.select("qid", keywords(F.col("text")).alias("kws"), F.filter(F.split(F.lower(F.trim("text")), r"[\s　]+"), lambda w: w != "").alias("own"))
+    find = finder([(r.qid, r.kws) for r in asked.select("qid", "kws").collect()])
     usable = sections.filter(~F.col("heading").rlike(CONTENTS_HEADING))
     front = F.regexp_extract("segment", f"(?s)^(.*?)(?:{FRONT})", 1)
     segment = F.lower(F.when(F.col("segment").rlike(FRONT), front).otherwise(F.col("segment")))
-    pairs = usable.withColumn("seg", segment).crossJoin(F.broadcast(asked))
+    held = usable.select("file", "code", "sid", "heading", "length", find(segment).alias("m")).filter(F.size("m.qids") > 0).repartition("file")
+    pairs = held.select("file", "code", "sid", "heading", "length", "m.found", F.explode("m.qids").alias("qid"))
+    pairs = pairs.withColumn("qid", F.col("qid").cast(queries.schema["qid"].dataType)).join(F.broadcast(asked), "qid")
     hit = lambda where: F.filter("kws", lambda k: where.contains(k))
-    pairs = pairs.withColumn("matched", hit(F.col("seg"))).filter(F.size("matched") > 0)
+    pairs = pairs.withColumn("matched", F.array_intersect("kws", "found"))
     weighted = F.aggregate("matched", F.lit(0.0), lambda s, k: s + rarity(k))
     score = (weighted * 4 + F.when(F.size("matched") == F.size("kws"), 4.0).otherwise(0.0) + F.size(hit(F.lower("heading"))) * 5) * heading_factor(F.col("heading"))
     code = F.lower("code")

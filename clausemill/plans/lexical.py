@@ -43,6 +43,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+def golden_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set of queries that searches are asked: the golden ones whose id is divisible by 20, each id once."""
+    rows = read(spark, sf_dir, "golden_queries").filter("query_id % 20 = 0 and query is not null")
+    return rows.groupBy(F.col("query_id").alias("qid")).agg(F.min("query").alias("text"))
+
+
+def d3_bm25_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 score of every clause for every golden query that shares a token with it."""
+    return lexical.bm25_asked(_clauses(spark, sf_dir), "rec_id", "clause_text", golden_questions(spark, sf_dir)).select("qid", "rec_id", F.round("score", 4).alias("score"))
+
+
 def d3_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 score of every clause that holds a term."""
     return lexical.bm25(_clauses(spark, sf_dir), "rec_id", "clause_text", TERMS).select("rec_id", F.round("score", 4).alias("score"))
@@ -133,7 +144,7 @@ def a28_jaccard_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, d3_bm25_all, a1_term_frequency, a2_doc_length_stats, a3_document_frequency_idf, j6_containment_join, a5_cooccurrence_top15, a6_bigram_counts, w9_bigram_top10,
+        bm25_topk, d3_bm25_all, d3_bm25_golden, a1_term_frequency, a2_doc_length_stats, a3_document_frequency_idf, j6_containment_join, a5_cooccurrence_top15, a6_bigram_counts, w9_bigram_top10,
         a7_char_bigram_model, a7_unseen_floor, a8_char_anomaly, f36_char_entropy_gate, filter4_short_sections, filter5_generic_terms, filter6_stop_words, f21_query_units, a28_jaccard_separation,
     )
 }
@@ -157,6 +168,16 @@ df as (select term, count(*) as df from tf group by term),
 scores as (select {key}, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) as score from tf join df using (term), stats group by {key})"""
 
 
+GOLDEN = "qs as (select query_id as qid, min(query) as text from golden_queries where query_id % 20 = 0 and query is not null group by query_id)"
+
+
+def bm25_asked_sql(source: str, key: str, text: str, name: str) -> str:
+    """CTEs of the scores of source's texts for qs; the last is name."""
+    return f"""{name}_w as (select distinct qid, unnest({_toks('text')}) as term from qs), {name}_h as (select {key}, toks, len(toks) as dl from (select {key}, {_toks(text)} as toks from {source}) u where len(toks) >= 5), {name}_n as (select count(*) as n, avg(dl) as avgdl from {name}_h),
+{name}_t as (select {key}, dl, term, count(*) as tf from (select {key}, dl, unnest(toks) as term from {name}_h) u where term in (select term from {name}_w) group by all), {name}_d as (select term, count(*) as df from {name}_t group by term),
+{name} as (select qid, {key}, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) as score from {name}_t join {name}_d using (term) join {name}_w using (term), {name}_n group by qid, {key})"""
+
+
 _BIGRAMS = f"""{_CTOK}, pairs as (select toks[i] as w1, toks[i + 1] as w2 from (select toks, unnest(range(1, len(toks))) as i from docs) u),
 vocab as (select w from (select unnest(toks) as w from docs) u group by w having count(*) >= 2),
 bg as (select w1, w2, count(*) as freq from pairs where w1 in (select w from vocab) and w2 in (select w from vocab) group by w1, w2)"""
@@ -167,6 +188,7 @@ _HITS = f"{_CLS}, hits as (select rec_id, term from cls join (select distinct te
 ORACLES = {
     "bm25_topk": f"with {_DOC}, {_bm25('doc_id')} select doc_id, score from scores order by score desc, doc_id limit 10",
     "d3_bm25_all": f"with {_CTOK}, {_bm25('rec_id')} select rec_id, score from scores",
+    "d3_bm25_golden": f"with {_CLS}, {GOLDEN}, {bm25_asked_sql('cls', 'rec_id', 'clause_text', 'b')} select qid, rec_id, score from b",
     "a1_term_frequency": f"with {_DOC}, t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from docs) u group by all) select tf, count(*) as n, count(distinct term) as terms from t group by tf",
     "a2_doc_length_stats": f"with {_DOC} select count(*) as n_docs, round(avg(len(toks)), 4) as avgdl from docs where len(toks) >= 5",
     "a3_document_frequency_idf": f"with {_DOC}, held as (select * from docs where len(toks) >= 5), n as (select count(*) as n from held), t as (select distinct doc_id, unnest(toks) as term from held) select term, count(*) as df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) as idf from t, n group by term, n",

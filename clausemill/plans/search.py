@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clausemill.functions.codes import extract_standard
 from clausemill.operators import lexical, search as ops, sections
+from clausemill.plans.codes import _TOKEN, _code_sql
+from clausemill.plans.lexical import GOLDEN as GOLDEN_SQL, bm25_asked_sql, golden_questions
 from clausemill.session import read, read_wide
 
 QUESTIONS = {1: "剪力墙 垂直度", 2: "GB/T 72261 第3.1.1条", 3: "冷藏库围护材料试验方法标准", 4: "JGJ 5610 绿色建造", 5: "模板支架 沉降量 限值", 6: "concrete grade C40"}
@@ -15,6 +19,11 @@ def _questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS.items()), "qid int, text string")
 
 
+def _asked(spark: SparkSession, asked: DataFrame | None) -> DataFrame:
+    """The queries given, else the list above."""
+    return _questions(spark) if asked is None else asked
+
+
 def _coded(files: DataFrame) -> DataFrame:
     return files.withColumn("code", F.coalesce(extract_standard(F.regexp_replace("file", r"_\d+\.md$", ""))["standard_code"], F.lit("")))
 
@@ -30,14 +39,14 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "code", "sid", "heading", "length", F.substr("text", F.col("pos") + 1, F.col("length")).alias("segment"))
 
 
-def d1_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d1_keyword_search(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Best section of every file for every question."""
-    return ops.keyword_search(_questions(spark), _sections(spark, sf_dir))
+    return ops.keyword_search(_asked(spark, asked), _sections(spark, sf_dir))
 
 
-def w7_best_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w7_best_per_query(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """The three best files of every question, one a standard's segment, above the least score."""
-    best = ops.dedup_segments(d1_keyword_search(spark, sf_dir)).filter(F.col("score") >= ops.LEAST_SCORE)
+    best = ops.dedup_segments(d1_keyword_search(spark, sf_dir, asked)).filter(F.col("score") >= ops.LEAST_SCORE)
     r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "file"))
     return best.withColumn("r", r).filter("r <= 3").select("qid", "r", "file", "score", ops.confidence(F.col("score")).alias("confidence"))
 
@@ -64,9 +73,9 @@ def x1_aligned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.aligned(graph, d1_keyword_search(spark, sf_dir).filter("qid in (1, 5)")).withColumn("score", F.round("score", 3))
 
 
-def d4_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d4_title_lookup(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Files by title."""
-    return ops.title_lookup(_questions(spark), read_wide(spark, sf_dir, "kb_md").select("file", "title").distinct())
+    return ops.title_lookup(_asked(spark, asked), read_wide(spark, sf_dir, "kb_md").select("file", "title").distinct())
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,21 +83,21 @@ def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coded(sections.clauses(index, "file")).select("code", "number", "file", "heading")
 
 
-def d5_direct_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d5_direct_lookup(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Clauses by code and number."""
-    return ops.direct_lookup(_questions(spark), _lookup(spark, sf_dir))
+    return ops.direct_lookup(_asked(spark, asked), _lookup(spark, sf_dir))
 
 
-def x9_hybrid_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x9_hybrid_router(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Every question answered by the first branch that finds something."""
-    direct = d5_direct_lookup(spark, sf_dir).groupBy("qid", "file").agg(F.max("score").alias("score"))
-    keyword = ops.dedup_segments(d1_keyword_search(spark, sf_dir)).filter(F.col("score") >= ops.LEAST_SCORE)
-    return ops.routed([("title", d4_title_lookup(spark, sf_dir)), ("direct", direct), ("keyword", keyword)])
+    direct = d5_direct_lookup(spark, sf_dir, asked).groupBy("qid", "file").agg(F.max("score").alias("score"))
+    keyword = ops.dedup_segments(d1_keyword_search(spark, sf_dir, asked)).filter(F.col("score") >= ops.LEAST_SCORE)
+    return ops.routed([("title", d4_title_lookup(spark, sf_dir, asked)), ("direct", direct), ("keyword", keyword)])
 
 
-def x8_version_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x8_version_penalty(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Answers with the state of their standard, penalised ones last."""
-    results = _coded(x9_hybrid_router(spark, sf_dir))
+    results = _coded(x9_hybrid_router(spark, sf_dir, asked))
     out = ops.version_penalty(results, read(spark, sf_dir, "standard_status"))
     return out.select("qid", "file", "status", "penalised", "position", F.round("score", 4).alias("score"))
 
@@ -118,9 +127,9 @@ def x18_ref_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("r", r).filter("r <= 10").select("code", "way", "other")
 
 
-def x3_authority_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x3_authority_boost(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Answers with the gain of standards that others refer to."""
-    out = ops.authority_boost(_coded(x9_hybrid_router(spark, sf_dir)), _references(spark, sf_dir))
+    out = ops.authority_boost(_coded(x9_hybrid_router(spark, sf_dir, asked)), _references(spark, sf_dir))
     return out.select("qid", "file", "refs", F.round("score", 3).alias("score"))
 
 
@@ -198,6 +207,18 @@ QUERIES = {
     )
 }
 
+
+
+def _golden(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(spark, sf_dir, golden_questions(spark, sf_dir))
+
+
+#: The same searches over the golden queries.
+GOLDEN = {
+    "d1_keyword_golden": d1_keyword_search, "w7_best_golden": w7_best_per_query, "d4_title_golden": d4_title_lookup, "d5_direct_golden": d5_direct_lookup, "x9_hybrid_golden": x9_hybrid_router, "x8_version_golden": x8_version_penalty, "x3_authority_golden": x3_authority_boost,
+}
+QUERIES |= {name: _golden(f) for name, f in GOLDEN.items()}
+
 _Q = ", ".join(f"({k}, '{v}')" for k, v in QUESTIONS.items())
 _FILLERS = ", ".join(f"'{w}'" for w in ops.FILLERS)
 _CODE = r"regexp_replace(regexp_replace(regexp_extract(file, '_seg\d+_([A-Z]+\d*(?:_T)? \d+)', 1), '_T ', 'T'), ' ', '')"
@@ -268,3 +289,10 @@ ORACLES = {
     "filter7_existence": r"with w as (select distinct regexp_extract(expected_standard_code, '^([A-Z]+\d+T?\d*)$', 1) as code from golden_queries) select code, case when code in (select standard_code from standard_status) then 'held' when case when regexp_matches(code, '^GBT\d') then regexp_replace(code, '^GBT', 'GB') when regexp_matches(code, '^GB\d') then regexp_replace(code, '^GB', 'GBT') end in (select standard_code from standard_status) then 'other family' else 'missing' end as state from w where code <> ''",
     "k4_suggestions": r"with t as (select distinct regexp_replace(heading, '^[\d.]+\s+', '') as text from kb_search_index where heading is not null) select text, case when starts_with(text, '剪力墙') then 0 else 2 end as tier from t where contains(text, '剪力墙') order by tier, length(text), text limit 8",
 }
+
+#: The queries' words and codes as they are read from any text; the rest is as above.
+_GOLDEN_D1 = rf"""{GOLDEN_SQL}, c_in as (select qid, text, regexp_extract(text, '{_TOKEN}', 1) as token from qs), {_code_sql('c_in', 'token', 'qid, text')},
+qo as (select qid, code, list_filter(regexp_split_to_array(lower(trim(text)), '[\s　]+'), lambda w: w <> '') as own from c_parts), qk as (select qid, own, list_distinct(list_filter(list_concat(own, [lower(code)]), lambda w: w <> '')) as kws from qo),
+""" + _D1[_D1.index("fl as (") : _D1.index("dq as (")].replace("replace(text, ' ', '')", r"regexp_replace(text, '\s+', '', 'g')") + r"""dq as (select qid, regexp_replace(code, '^GBT', 'GB') as c, regexp_extract(text, '(\d+(?:\.\d+){1,4})\s*条?$', 1) as clause from c_parts),
+""" + _D1[_D1.index("lk as (") :]
+ORACLES |= {name: ORACLES[f.__name__].replace(_D1, _GOLDEN_D1) for name, f in GOLDEN.items()}
