@@ -61,6 +61,25 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _bodies_asked(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """Body scores of files by every token of every query."""
+    files = read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
+    return lexical.bm25_asked(files, "file", "text", asked).select("qid", "file", F.round("score", 4).alias("score"))
+
+
+def u3_merge_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword results of the golden queries with body scores by all their tokens."""
+    asked = golden_questions(spark, sf_dir)
+    return ops.merge_bodies(d1_keyword_search(spark, sf_dir, asked), _bodies_asked(spark, sf_dir, asked)).withColumn("score", F.round("score", 5))
+
+
+def x1_aligned_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword results of the golden queries beside body scores, by all their tokens, taken as graph scores."""
+    asked = golden_questions(spark, sf_dir)
+    graph = _bodies_asked(spark, sf_dir, asked).withColumn("score", F.col("score") * 100)
+    return ops.aligned(graph, d1_keyword_search(spark, sf_dir, asked)).withColumn("score", F.round("score", 5))
+
+
 def u3_merge_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword results of two questions with body scores."""
     results = d1_keyword_search(spark, sf_dir).filter("qid in (1, 5)")
@@ -217,7 +236,7 @@ def _golden(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFr
 GOLDEN = {
     "d1_keyword_golden": d1_keyword_search, "w7_best_golden": w7_best_per_query, "d4_title_golden": d4_title_lookup, "d5_direct_golden": d5_direct_lookup, "x9_hybrid_golden": x9_hybrid_router, "x8_version_golden": x8_version_penalty, "x3_authority_golden": x3_authority_boost,
 }
-QUERIES |= {name: _golden(f) for name, f in GOLDEN.items()}
+QUERIES |= {name: _golden(f) for name, f in GOLDEN.items()} | {f.__name__: f for f in (u3_merge_golden, x1_aligned_golden)}
 
 _Q = ", ".join(f"({k}, '{v}')" for k, v in QUESTIONS.items())
 _FILLERS = ", ".join(f"'{w}'" for w in ops.FILLERS)
@@ -296,3 +315,9 @@ qo as (select qid, code, list_filter(regexp_split_to_array(lower(trim(text)), '[
 """ + _D1[_D1.index("fl as (") : _D1.index("dq as (")].replace("replace(text, ' ', '')", r"regexp_replace(text, '\s+', '', 'g')") + r"""dq as (select qid, regexp_replace(code, '^GBT', 'GB') as c, regexp_extract(text, '(\d+(?:\.\d+){1,4})\s*条?$', 1) as clause from c_parts),
 """ + _D1[_D1.index("lk as (") :]
 ORACLES |= {name: ORACLES[f.__name__].replace(_D1, _GOLDEN_D1) for name, f in GOLDEN.items()}
+_GOLDEN_BODY = bm25_asked_sql("fl", "file", "body", "bodies")
+# five places hold these sums as they are, so no tie is rounded
+ORACLES |= {
+    "u3_merge_golden": f"with {_GOLDEN_D1}, {_GOLDEN_BODY}, k as (select qid, file, score from d1 where score > 0) select coalesce(k.qid, b.qid) as qid, coalesce(k.file, b.file) as file, round(case when k.score is null then b.score * 0.6 else k.score + coalesce(b.score, 0) * 0.2 end, 5) as score, case when k.score is null then 'body' else 'keyword' end as source from k full join bodies b on k.qid = b.qid and k.file = b.file where k.score is not null or b.score * 0.6 >= 3",
+    "x1_aligned_golden": f"with {_GOLDEN_D1}, {_GOLDEN_BODY}, c as (select qid, file, score * 100 / 40 as score, 'graph' as source, 0 as o from bodies union all select qid, file, score * 1.5, 'keyword', 1 from d1 where score > 0), r as (select *, row_number() over (partition by qid, file order by score desc, o) as r from c) select qid, file, round(score, 5) as score, source from r where r = 1",
+}

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clausemill.operators import graph, lexical, search, vectors
-from clausemill.plans import registry
+from clausemill.plans import registry, search as plans
 from clausemill.plans.lexical import golden_questions
 
 
@@ -50,3 +50,15 @@ def test_bm25_of_every_query(spark):
     got = {(r.qid, r.id): round(r.score, 9) for r in lexical.bm25_asked(rows, "id", "t", spark.createDataFrame(list(asked.items()), "qid int, text string")).collect()}
     terms = {1: ["剪力", "力墙", "垂直", "直度"], 5: ["模板", "板支", "支架", "沉降", "降量", "限值"], 6: ["concrete"]}
     assert got == {(q, r.id): round(r.score, 9) for q, ts in terms.items() for r in lexical.bm25(rows, "id", "t", ts).collect()}
+
+
+def test_bodies_of_all_golden_queries_are_merged(spark):
+    """Both merges hold more than two queries, and every file that shares any token with one."""
+    data = "/root/testdata/sf0.001"
+    asked = golden_questions(spark, data)
+    shared = {tuple(r) for r in plans._bodies_asked(spark, data, asked).select("qid", "file").collect()}
+    files = {r.file: set(r.toks) for r in spark.read.parquet(f"{data}/kb_md.parquet").select("file", lexical.token_array(F.col("text")).alias("toks")).collect()}
+    asked = {r.qid: set(r.toks) for r in asked.select("qid", lexical.token_array(F.col("text")).alias("toks")).collect()}
+    assert shared == {(q, f) for q, ts in asked.items() for f, toks in files.items() if ts & toks} and shared
+    aligned = {(r.qid, r.file) for r in registry.queries()["x1_aligned_golden"](spark, data).collect()}
+    assert shared <= aligned
