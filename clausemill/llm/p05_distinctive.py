@@ -12,6 +12,10 @@ from clausemill.session import read, read_wide
 
 #: Pseudo-counts that the prior spreads over the terms in proportion to their counts in the collection.
 PRIOR_MASS = 10.0
+#: Most terms of a list; they go to every task as one automaton of about a kilobyte a term. Longer lists are refused.
+MOST_TERMS = 200_000
+#: A term is characteristic of a record from this z-score: more frequent in it than in the rest.
+LEAST_Z = 0.0
 
 
 def term_counter(terms: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -49,11 +53,14 @@ def log_odds_z(y: Column, n: Column, all_y: Column, all_n: Column) -> Column:
 def distinctive_terms(records: DataFrame, terms: DataFrame) -> DataFrame:
     """(rec_id, text) and a list of terms -> rec_id, term, n, df, total_records, z.
 
-    The term list is collected: it is a vocabulary given by the caller, here a table of fixed size. Records delivered
+    The term list is collected, up to MOST_TERMS: it is a vocabulary given by the caller. Records delivered
     twice count once, records without text count in total_records only, a single-term collection gives z null, and empty
     inputs give no rows. Only the counted triples are shuffled, never the texts.
     """
-    words = sorted({r[0] for r in terms.select(terms.columns[0]).collect() if r[0]})
+    named = terms.select(F.col(terms.columns[0]).alias("term")).filter("term <> ''").distinct()
+    words = sorted(r.term for r in named.limit(MOST_TERMS + 1).collect())
+    if len(words) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
     schema = "rec_id bigint, term string, n bigint"
     texts = records.select("rec_id", "text").filter("text is not null and text <> '' and rec_id is not null")
     counts = texts.mapInPandas(term_counter(words), schema).groupBy("rec_id", "term").agg(F.max("n").alias("n"))
@@ -74,8 +81,8 @@ def p5_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that stand three times in a record and are shared by two records up to one per cent of all."""
-    kept = p5_distinctive(spark, sf_dir).filter("n >= 3 and df >= 2 and df * 100 <= total_records")
+    """Characteristic terms that stand three times in a record and are shared by two records up to one per cent of all."""
+    kept = p5_distinctive(spark, sf_dir).filter((F.col("z") > LEAST_Z) & F.expr("n >= 3 and df >= 2 and df * 100 <= total_records"))
     return kept.select("rec_id", "term")
 
 
@@ -92,9 +99,9 @@ scored as (select c.rec_id, c.term, c.n, t.df, (select count(*) from records) as
   cast(c.n as double) as y, cast(r.record_n as double) as rn, cast(t.all_y as double) as ay, cast(totals.all_n as double) as an, t.all_y * 10.0 / totals.all_n as a
   from counts c join per_record r using (rec_id) join per_term t using (term), totals)
 """
+_Z = """(ln((y + a) / (rn + 10.0 - y - a)) - ln((ay - y + a) / (an - rn + 10.0 - (ay - y) - a)))
+  / sqrt(1 / (y + a) + 1 / (ay - y + a))"""
 ORACLES = {
-    "p5_distinctive": _COUNTS
-    + """select rec_id, term, n, df, total_records, round((ln((y + a) / (rn + 10.0 - y - a)) - ln((ay - y + a) / (an - rn + 10.0 - (ay - y) - a)))
-  / sqrt(1 / (y + a) + 1 / (ay - y + a)), 6) as z from scored""",
-    "p5_found": _COUNTS + "select rec_id, term from scored where n >= 3 and df >= 2 and df * 100 <= total_records",
+    "p5_distinctive": _COUNTS + f"select rec_id, term, n, df, total_records, round({_Z}, 6) as z from scored",
+    "p5_found": _COUNTS + f"select rec_id, term from scored where n >= 3 and df >= 2 and df * 100 <= total_records and {_Z} > 0",
 }

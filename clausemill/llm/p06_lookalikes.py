@@ -104,9 +104,12 @@ def canonical_pieces(rows: DataFrame) -> DataFrame:
     return found.join(named, "piece").select("src_table", "row_id", "piece", "canonical")
 
 
-def kinds_of(piece: Column) -> Column:
-    """The kinds of deviating characters in a piece."""
-    return F.array_compact(F.array(*[F.when(piece.rlike(p), k) for k, p in KINDS.items()]))
+def kinds_of(piece: Column, canonical: Column) -> Column:
+    """The kinds in which a piece deviates from its class's member: signs of that kind which the member doesn't have.
+
+    An accent that no letter is composed with stays in the member, and counts all the same.
+    """
+    return F.array_compact(F.array(*[F.when(piece.rlike(p) & (F.lit(k == "combining") | ~canonical.rlike(p)), k) for k, p in KINDS.items()]))
 
 
 def normalise_lookalikes(rows: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def normalise_lookalikes(rows: DataFrame) -> DataFrame:
     pieces = canonical_pieces(rows)
     per_row = pieces.groupBy("src_table", "row_id").agg(
         F.map_from_entries(F.collect_set(F.struct("piece", "canonical"))).alias("pairs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(kinds_of(F.col("piece")))))).alias("kinds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(kinds_of(F.col("piece"), F.col("canonical")))))).alias("kinds"),
     )
     # The pieces are put back between the separators they were cut at.
     parts = F.transform(F.split("text", PIECE_ENDS), lambda p: F.coalesce(F.try_element_at("pairs", p), p))
@@ -145,14 +148,22 @@ def p6_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and the kinds of deviating characters in them."""
     pieces = canonical_pieces(source_rows(spark, sf_dir))
-    return pieces.select("src_table", "row_id", F.explode(kinds_of(F.col("piece"))).alias("kind")).distinct()
+    return pieces.select("src_table", "row_id", F.explode(kinds_of(F.col("piece"), F.col("canonical"))).alias("kind")).distinct()
 
 
 QUERIES = {"p6_normalised": p6_normalised, "p6_found": p6_found}
 _ROWS = """with texts as (select distinct 'golden_queries' as src_table, query_id as row_id, query as body from golden_queries
 union select distinct 'read_clause_full', rec_id, clause_text from read_clause_full)
 """
+#: Whole blocks of Unicode, written apart from the tables above; the SQL has no classes and tests the texts alone.
+_BLOCKS = {
+    "width": r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}]|[0-9A-Za-z][％．／]|[％．／][0-9A-Za-z]",
+    "combining": r"\p{L}[\x{300}-\x{36F}]",
+    "invisible": r"\p{Cf}|\x{34F}",
+    "space": r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]",
+    "lookalike": r"\p{Cyrillic}|[ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο]|[\x{2E80}-\x{2FDF}\x{F900}-\x{FAFF}\x{1D400}-\x{1D7FF}\x{2F800}-\x{2FA1F}]|[A-Za-z][νιρυκ]|[νιρυκ][A-Za-z]",
+}
 ORACLES = {
     "p6_found": _ROWS
-    + " union ".join(f"select src_table, row_id, '{kind}' as kind from texts where regexp_matches(body, '{pattern}')" for kind, pattern in KINDS.items())
+    + " union ".join(f"select src_table, row_id, '{kind}' as kind from texts where regexp_matches(body, '{pattern}')" for kind, pattern in _BLOCKS.items())
 }

@@ -18,15 +18,17 @@ from clausemill.session import read, read_wide
 RUN = 10
 #: Documents with at least this exact share are reported.
 SHARE = 0.4
-#: Documents that the trees give less than this share aren't looked at again; 1 in 3 of SHARE, well under the model's error.
-CANDIDATE = 0.13
-#: At most about so many documents are labelled to fit the trees; the sample is taken by a hash of doc_id.
+#: At most about so many documents are labelled to fit the trees; the sample is taken by a hash of doc_id and text.
 FIT_ROWS = 4000
 
 SENTENCE = re.compile(r"[。！？；.!?;\n]+")
-FEATURES = ("log_letters", "repeated_10", "repeated_24", "repeated_sentences", "compressed")
+#: most is RUN times the repeated windows of RUN letters by letters, at most 1: the exact share can't exceed it.
+FEATURES = ("most", "repeated_24", "repeated_sentences", "compressed")
 #: +1: the share can't fall as the feature grows; -1: can't grow; 0: free.
-MONOTONE = (0, 1, 1, 1, -1)
+MONOTONE = (1, 1, 1, -1)
+#: The least favourable statistics that a document of share SHARE may have: monotone trees score all such documents at
+#: least as high as these, so nothing that reaches SHARE is passed over below their score.
+CORNER = (SHARE, 0.0, 0.0, np.inf)
 
 
 def _window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -64,10 +66,10 @@ def repeated_share(text: str) -> float:
     return float((np.cumsum(edges[:-1]) > 0).mean())
 
 
-def _repeats(codes: np.ndarray, starts: np.ndarray, width: int, step: int = 1) -> np.ndarray:
-    """Of documents laid end to end, the share of each one's windows that stand in it more than once, less one each."""
-    hashes = _window_hashes(codes, width)[::step]
-    at = np.arange(0, len(hashes) * step, step)
+def _repeats(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Of documents laid end to end, how many of each one's windows stand in it again; never less than truly do."""
+    hashes = _window_hashes(codes, width)
+    at = np.arange(len(hashes))
     owner = np.searchsorted(starts, at, side="right") - 1
     ends = np.append(starts[1:], len(codes))
     inside = at + width <= ends[owner]
@@ -75,7 +77,7 @@ def _repeats(codes: np.ndarray, starts: np.ndarray, width: int, step: int = 1) -
     keys = (owner.astype(np.uint64) << np.uint64(44)) | (hashes[inside] >> np.uint64(20))
     keys.sort()
     again = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)
-    return np.bincount(again.astype(np.int64), minlength=len(starts)) / np.maximum(np.bincount(owner, minlength=len(starts)), 1)
+    return np.bincount(again.astype(np.int64), minlength=len(starts))
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -83,10 +85,10 @@ def statistics(texts: list[str]) -> np.ndarray:
     codes, bounds = letters_of(texts)
     starts, lengths = bounds[:-1], np.diff(bounds)
     full = lengths > 0  # empty ones share their start with the next
-    tens, wide = np.zeros(len(texts)), np.zeros(len(texts))
+    most, wide = np.zeros(len(texts)), np.zeros(len(texts))
     if full.any():
-        tens[full] = _repeats(codes, starts[full], RUN)
-        wide[full] = _repeats(codes, starts[full], 24, 4)
+        most[full] = np.minimum(1, RUN * _repeats(codes, starts[full], RUN) / lengths[full])
+        wide[full] = _repeats(codes, starts[full], 24) / lengths[full]
     sentences, packed = np.zeros(len(texts)), np.ones(len(texts))
     for k, text in enumerate(texts):
         pieces = SENTENCE.split(text)
@@ -95,7 +97,7 @@ def statistics(texts: list[str]) -> np.ndarray:
         if lengths[k]:
             raw = codes[bounds[k] : bounds[k + 1]].astype(np.uint16).tobytes()
             packed[k] = len(zlib.compress(raw, 1)) / len(raw)
-    return np.stack([np.log1p(lengths), tens, wide, sentences, packed], 1)
+    return np.stack([most, wide, sentences, packed], 1)
 
 
 @dataclass
@@ -186,23 +188,28 @@ def _statistics_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=[*FEATURES, "share"])
 
 
+def sample_edge(n: int, rows: int = FIT_ROWS) -> int:
+    """The 64-bit hash below which about so many of n rows lie; for any n, as the whole range of the hash is used."""
+    return 2**63 - 1 if n <= rows else -(2**63) + 2**64 * rows // n
+
+
 def fit_repetition(documents: DataFrame) -> Trees:
-    """Trees fitted on a bounded sample, labelled with the exact share."""
-    n = documents.count()
-    share = min(1.0, FIT_ROWS / n) if n else 1.0
-    picked = documents.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col("text").isNotNull())
+    """Trees fitted on a bounded sample, labelled with the exact share; a collection without texts gives the constant 0."""
+    texts = documents.select("doc_id", "text").filter("text is not null")
+    picked = texts.filter(F.xxhash64("doc_id", "text") <= sample_edge(texts.select("doc_id").count()))
     schema = ", ".join(f"{c} double" for c in (*FEATURES, "share"))
     sample = picked.select("text").mapInPandas(_statistics_of, schema).toPandas().to_numpy(float)
     return fit_trees(sample[:, :-1], sample[:, -1])
 
 
-def score_repetition(documents: DataFrame, model: Trees) -> DataFrame:
+def score_repetition(documents: DataFrame, model: Trees, every: bool = True) -> DataFrame:
     """(doc_id, text) -> doc_id, predicted, share.
 
-    predicted is the trees' share; share is the exact one where predicted reaches CANDIDATE, else null. Null texts count
-    as empty, with share 0 predicted from their statistics; every row gives one row, repeated doc_ids repeated ones. The
-    plan has no shuffle.
+    predicted is the trees' share, share the exact one. Without every, share is null for documents that the trees score
+    below CORNER: as they are monotone, none of these has SHARE or more. Null texts count as empty, with share 0; every
+    row gives one row, repeated doc_ids repeated ones. The plan has no shuffle.
     """
+    gate = -np.inf if every else float(model.predict(np.array([CORNER]))[0])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,7 +217,7 @@ def score_repetition(documents: DataFrame, model: Trees) -> DataFrame:
             for part in groups(everything):
                 texts = everything[part]
                 predicted = model.predict(statistics(texts))
-                share = [repeated_share(t) if p >= CANDIDATE else None for t, p in zip(texts, predicted)]
+                share = [repeated_share(t) if p >= gate else None for t, p in zip(texts, predicted)]
                 yield pd.DataFrame({"doc_id": batch["doc_id"][part], "predicted": predicted, "share": pd.array(share, dtype="Float64")})
 
     return documents.select("doc_id", "text").mapInPandas(score, "doc_id bigint, predicted double, share double")
@@ -223,8 +230,10 @@ def p10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of whose letters two fifths repeat what stood earlier."""
-    return p10_repetition(spark, sf_dir).filter(F.col("share") >= SHARE).select("doc_id").distinct()
+    """Documents of whose letters two fifths repeat what stood earlier: those the trees let through, measured."""
+    documents = read_wide(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_repetition(documents, fit_repetition(documents), every=False)
+    return scored.filter(F.col("share") >= SHARE).select("doc_id").distinct()
 
 
 QUERIES = {"p10_repetition": p10_repetition, "p10_found": p10_found}

@@ -102,6 +102,10 @@ def test_p5_scores(spark):
     assert {k: (v.n, v.df, v.total_records) for k, v in got.items()} == {(1, "甲"): (3, 1, 4), (1, "乙"): (1, 2, 4), (2, "乙"): (2, 2, 4)}
     assert got[1, "甲"].z > 0 > got[1, "乙"].z
     assert p05_distinctive.distinctive_terms(records.limit(0), terms).count() == 0
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(p05_distinctive, "MOST_TERMS", 2)
+        with pytest.raises(ValueError):
+            p05_distinctive.distinctive_terms(records, terms)
 
 
 def test_p6_forms(spark):
@@ -170,7 +174,7 @@ def test_p10_share_is_exact():
 
 def test_p10_trees_are_monotone():
     rng = np.random.default_rng(5)
-    x = rng.random((400, 5))
+    x = rng.random((400, 4))
     model = p10_repetition.fit_trees(x, np.clip(x[:, 1] + 0.3 * rng.random(400), 0, 1))
     base = model.predict(x)
     for k, way in enumerate(p10_repetition.MONOTONE):
@@ -180,6 +184,26 @@ def test_p10_trees_are_monotone():
     assert np.abs(base - x[:, 1]).mean() < 0.25
 
 
+def test_p10_sample_at_any_size():
+    """The share of the hash range that is sampled stays right far beyond what can be tested with rows."""
+    for n in (1, 4000, 10**6, 10**10, 10**13):
+        kept = (p10_repetition.sample_edge(n) + 2**63) / 2**64 * n
+        assert kept == pytest.approx(min(n, 4000), rel=1e-3)
+
+
+def test_p10_gate_loses_nothing(spark):
+    """A phrase before ever new letters: few repeated windows, but half of the letters; whatever the trees were fitted on."""
+    fresh = iter(range(0x4E00, 0x9F00))
+    mixed = "".join("夜间应开启红色示警灯" + "".join(chr(next(fresh)) for _ in range(9)) for _ in range(60))
+    docs = spark.createDataFrame([(1, mixed), (2, "甲" * 9), (3, None)], "doc_id bigint, text string")
+    rng = np.random.default_rng(6)
+    x = rng.random((500, 4))
+    for model in (p10_repetition.fit_trees(x[:0], x[:0, 0]), p10_repetition.fit_trees(x, rng.random(500)), p10_repetition.fit_repetition(docs)):
+        found = {r.doc_id: r.share for r in p10_repetition.score_repetition(docs, model, every=False).collect()}
+        assert found[1] == pytest.approx(brute_share(mixed)) and found[1] > 0.4
+    assert all(r.share is not None for r in p10_repetition.score_repetition(docs, model).collect())
+
+
 def test_p10_scores(spark):
     docs = spark.createDataFrame([(1, "夜间应开启红色示警灯。" * 30), (2, "".join(map(chr, range(0x4E00, 0x4F00)))), (3, None), (4, "")], "doc_id bigint, text string")
     got = {r.doc_id: r.share for r in p10_repetition.score_repetition(docs, p10_repetition.fit_repetition(docs)).collect()}
