@@ -154,6 +154,33 @@ def test_p9_mixture(spark):
     assert abs(shares["a"].actual_share - 5 / 9) < 0.05 and abs(shares["b"].actual_share - 4 / 9) < 0.05
 
 
+def test_p9_rates_are_projected_and_reach_targets(spark):
+    """Replayed rates equal those kept by document, stay within caps, and the error falls below CLOSE where targets can be met."""
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([0.3] * 3, 400)
+    tokens, cap = rng.integers(10, 500, 400).astype(float), rng.integers(1, 4, 400).astype(float)
+    soft = spark.createDataFrame([(k, a.tolist(), float(c), int(t)) for k, (a, c, t) in enumerate(zip(p, cap, tokens))], "doc_id bigint, posterior array<double>, cap double, tokens bigint")
+    hard, targets, repeats = np.array([50_000.0, 30_000.0, 0.0]), np.array([0.5, 0.4, 0.1]), np.array([2.0, 3.0, 1.0])
+    gradients, error = p09_mixing.fit_rates(hard, soft, targets, repeats)
+    rate, own = np.zeros(400), np.zeros(3)
+    for g in gradients:
+        rate, own = np.clip(rate + p @ g, 0, cap), np.clip(own + g, 0, repeats)
+    assert np.allclose(rate, p09_mixing.replayed(p, cap, gradients)) and (rate >= 0).all() and (rate <= cap).all()
+    reached = own * hard + (rate * tokens) @ p
+    total = min(2 * 50_000 / (0.5 / 0.9), 3 * 30_000 / (0.4 / 0.9))
+    assert error <= p09_mixing.CLOSE and np.allclose(reached[:2], [total * 5 / 9, total * 4 / 9], rtol=2e-3)
+
+
+def test_p9_refuses_and_empty(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    mixture = spark.createDataFrame([("a", 1.0, 1), (None, 0.5, 1)], "source string, target_share double, max_repeat int")
+    selection, report = p09_mixing.mix(docs, mixture)
+    assert selection.count() == 0 and [r.reason for r in report.collect()] == ["no documents"]
+    many = spark.range(p09_mixing.MOST_SOURCES + 1).selectExpr("cast(id as string) as source", "0.1D as target_share", "1 as max_repeat")
+    with pytest.raises(ValueError):
+        p09_mixing.mix(docs, many)
+
+
 def brute_share(text):
     s = "".join(c for c in text if c.isalpha())
     seen, cover = set(), [False] * len(s)
