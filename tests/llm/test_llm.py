@@ -135,7 +135,35 @@ def test_p8_leaks(spark):
     other = item.replace("9阶", "7阶").replace("79份", "21份").replace("105mm", "300mm").replace("8人", "3人")
     docs = {1: "前文。" + item + "后文。", 2: "前文 " + item.replace("，", " <b>，</b>\n")[:70], 3: item.replace("结论是", "判定为").replace("依据为", "缘由引自").replace("拒签", "不签").replace("要判断", "须判断"), 4: other, 5: None, 6: "", 7: "夜间应开启红色示警灯。" * 50}
     got = {(r.doc_id, r.id): r.how for r in p08_leakage.leaked_items(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame([("a", item), ("b", None), ("c", "")], "id string, text string")).collect()}
-    assert got == {(1, "a"): "verbatim", (2, "a"): "verbatim", (3, "a"): "reworded"}
+    assert got == {(1, "a"): "verbatim", (2, "a"): "verbatim", (3, "a"): "reworded", (4, "a"): "reparameterised"}
+    with pytest.MonkeyPatch.context() as patch:  # items in blocks give the same
+        patch.setattr(p08_leakage, "BLOCK_ITEMS", 1)
+        more = spark.createDataFrame([("a", item), ("d", SENTENCES[3] * 3)], "id string, text string")
+        pairs = {(r.doc_id, r.id, r.how) for r in p08_leakage.leaked_items(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), more).collect()}
+    assert pairs == {(*k, v) for k, v in got.items()} | {(7, "d", "verbatim")}
+
+
+def test_p8_short_items_and_digits(spark):
+    """Items without enough windows, and parts of a long item that are mostly digits, are found by exact pieces."""
+    digits = "31415926535897932384626433832795028841971693993751"
+    items = {"short": "不小于1.1", "digits": digits, "mixed": "编号" + digits + "的试块应重新送检并由监理单位见证后方可用于主体结构验收"}
+    docs = {1: "间距不小于 1.1 米", 2: "见" + digits[5:46] + "号", 3: "编号" + digits[:39], 4: "不小于1.2"}
+    got = {(r.doc_id, r.id, r.how) for r in p08_leakage.leaked_items(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "id string, text string")).collect()}
+    assert {x for x in got if x[2] == "verbatim"} == {(1, "short", "verbatim"), (2, "digits", "verbatim"), (2, "mixed", "verbatim"), (3, "mixed", "verbatim")}
+
+
+def test_p8_every_part_of_an_item_is_a_candidate():
+    """Each 40 plain characters of items with many numbers and names are found, whatever stands around them."""
+    random.seed(8)
+    for _ in range(20):
+        parts = ["第%d阶" % random.randint(1, 99), "GB/T %d" % random.randint(100, 99999), "抗拔力", "Mistral", "105mm", "监理拒签给水管道", "%d" % random.randint(1, 10**9), "结论是"]
+        item = "".join(random.choices(parts, k=25))
+        ready = p08_leakage.prepare([("a", item)])
+        find = p08_leakage.piece_finder(ready)
+        for at in range(0, len(ready.plain[0]) - 39, 7):
+            codes, bounds = plain_of(["乙" + ready.plain[0][at : at + 40] + "丙"])
+            near = list(p08_leakage.candidates(*p08_leakage.templates(codes, bounds), ready)) or find(text_of(codes))
+            assert near, (item, at)
 
 
 def test_p8_plain_characters():
