@@ -41,29 +41,36 @@ WRAPPER = re.compile(rf"\\(?:text(?:bf|it|tt|rm|sf|sc)?|emph|underline|math(?:rm
 REFERENCE = re.compile(rf"\\(?:cite[pt]?|ref|eqref|label|footnote|url)\s*(?:\[[^\]]*\])?{ARGUMENT}")
 ENVIRONMENT = re.compile(r"\\(begin|end)\s*\{([A-Za-z]+\*?)\}(?:\{[^{}]*\})?")
 COMMAND = re.compile(r"\\([A-Za-z]+)\*?")
-FORMULA = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<!\$)\$(?!\s*\$)([^$\n]*[\d\\A-Za-z][^$\n]*)\$", re.S)
+#: A formula set apart has at most so many characters, or texts of opening signs alone would take squared time.
+FORMULA = re.compile(r"\$\$(.{1,4000}?)\$\$|\\\[(.{1,4000}?)\\\]|\\\((.{1,4000}?)\\\)|(?<!\$)\$(?!\s*\$)([^$\n]*[\d\\A-Za-z][^$\n]*)\$", re.S)
 FENCE = re.compile(r"^ {0,3}(```+|~~~+)[^\n`]*\n(.*?)(?:^ {0,3}\1[ \t]*$|\Z)", re.S | re.M)
 WIKI_TABLE = re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.S | re.M)
 RULE_ROW = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*$")
 PAGE = re.compile(r"^\s*[-–—*]\s*\d+\s*[-–—*]?\s*$")
 
 
+#: A block beside the way to the best container is dropped if more than this share of it is link text and its points are
+#: under this share of the container's.
+LINKED, SIBLING = 0.5, 0.2
+
+
 @dataclass
 class Node:
-    """An element, with text and elements in it."""
+    """An element, with text and elements in it. Nodes stand in a list in document order, so parents come before children."""
 
     tag: str
-    children: list = field(default_factory=list)
+    parent: int
+    children: list = field(default_factory=list)  # texts, and numbers of nodes
     points: float = 0.0
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
-
-    def linked(self) -> int:
-        return len(self.text()) if self.tag == "a" else sum(c.linked() for c in self.children if isinstance(c, Node))
+    size: int = 0  # characters in it
+    linked: int = 0  # those of them that are link text
+    dropped: bool = False
 
     def link_density(self) -> float:
-        return self.linked() / max(1, len(self.text()))
+        return self.linked / max(1, self.size)
+
+    def rated(self) -> float:
+        return self.points * (1 - self.link_density())
 
 
 def formula(tex: str) -> str:
@@ -80,9 +87,10 @@ def formula(tex: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[{}]", "", tex).replace("\\", "")).strip()
 
 
-def _tree(text: str, kinds: set[str]) -> Node:
-    root = Node("root")
-    stack, at = [root], 0
+def _tree(text: str, kinds: set[str]) -> list[Node]:
+    nodes = [Node("root", -1)]
+    stack, at = [0], 0
+    opened: dict[str, int] = {}
 
     def put(piece: str) -> None:
         if ENTITY.search(piece):
@@ -91,7 +99,12 @@ def _tree(text: str, kinds: set[str]) -> Node:
                 kinds.add("html")
             piece = decoded
         if piece:
-            stack[-1].children.append(piece)
+            nodes[stack[-1]].children.append(piece)
+
+    def close() -> str:
+        tag = nodes[stack.pop()].tag
+        opened[tag] -= 1
+        return tag
 
     for match in TAG.finditer(text):
         put(text[at : match.start()])
@@ -102,57 +115,56 @@ def _tree(text: str, kinds: set[str]) -> Node:
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                stack[-1].children.append("\n")
+                nodes[stack[-1]].children.append("\n")
         elif match[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
+            if opened.get(tag):
+                while close() != tag:
                     pass
         else:
-            while stack[-1].tag in ENDS.get(tag, ()):
-                stack.pop()
-            node = Node(tag)
-            stack[-1].children.append(node)
+            while nodes[stack[-1]].tag in ENDS.get(tag, ()):
+                close()
+            nodes[stack[-1]].children.append(len(nodes))
+            nodes.append(Node(tag, stack[-1]))
             if not match[0].endswith("/>"):
-                stack.append(node)
+                stack.append(len(nodes) - 1)
+                opened[tag] = opened.get(tag, 0) + 1
     put(text[at:])
-    return root
-
-
-def _score(node: Node, parent: Node | None, best: list) -> None:
-    """Points of a node's own paragraphs, passed to it and, halved, to its parent; best holds the best container."""
-    for child in node.children:
-        if isinstance(child, Node):
-            _score(child, node, best)
-        else:
-            for paragraph in child.split("\n"):
-                if len(paragraph.strip()) >= 2:
-                    points = 1 + sum(map(paragraph.count, ",，、")) + min(3, len(paragraph) / 100)
-                    node.points += points
-                    if parent:
-                        parent.points += points / 2
-    if node.tag in BLOCKS or node.tag == "root":
-        rated = node.points * (1 - node.link_density())
-        if not best or rated > best[0]:
-            best[:] = [rated, node, parent]
-
-
-def _kept(root: Node) -> Node:
-    """The best container with those siblings that aren't mostly links, up to the root; nothing else is left out."""
-    best: list = []
-    _score(root, None, best)
-    container = best[1] if best else root
-
-    def prune(node: Node) -> bool:
-        """Whether the container is in the node; its mostly linked siblings on the way are dropped."""
-        if node is container:
-            return True
-        inside = [c for c in node.children if isinstance(c, Node) and prune(c)]
-        if inside:
-            node.children = [c for c in node.children if isinstance(c, str) or c in inside or c.tag in INLINE or c.link_density() <= 0.5]
-        return bool(inside)
-
-    prune(root)
-    return root
+    return nodes
+
+
+def _score(nodes: list[Node]) -> None:
+    """Sizes, link text and points of all nodes: paragraphs pass points to their node and, halved, to its parent."""
+    for node in reversed(nodes):
+        own = 0.0
+        for child in node.children:
+            if isinstance(child, str):
+                node.size += len(child)
+                for paragraph in child.split("\n"):
+                    if len(paragraph.strip()) >= 2:
+                        own += 1 + sum(map(paragraph.count, ",，、")) + min(3, len(paragraph) / 100)
+        node.points += own
+        if node.tag == "a":
+            node.linked = node.size
+        if node.parent >= 0:
+            parent = nodes[node.parent]
+            parent.points += own / 2
+            parent.size += node.size
+            parent.linked += node.linked
+
+
+def _drop_link_blocks(nodes: list[Node]) -> None:
+    """The best container is kept with its siblings and those of its ancestors that hold text of their own."""
+    _score(nodes)
+    blocks = [k for k, n in enumerate(nodes) if n.tag in BLOCKS or n.tag == "root"]
+    best = max(blocks, key=lambda k: nodes[k].rated())
+    least = SIBLING * nodes[best].rated()
+    inside = best
+    while (at := nodes[inside].parent) >= 0:
+        for child in nodes[at].children:
+            if child != inside and not isinstance(child, str) and nodes[child].tag not in INLINE:
+                sibling = nodes[child]
+                sibling.dropped = sibling.link_density() > LINKED and sibling.rated() < least
+        inside = at
 
 
 def _inline(line: str, kinds: set[str]) -> str:
@@ -282,51 +294,59 @@ def _plain(text: str, kinds: set[str]) -> str:
     return text
 
 
-def _write(node: Node, kinds: set[str]) -> str:
-    parts: list[str] = []
-    run: list[str] = []
-
-    def flush() -> None:
-        if run:
-            parts.append(_plain("".join(run), kinds))
-            run.clear()
-
-    for child in node.children:
-        if isinstance(child, str):
-            run.append(child)
-        elif child.tag in INLINE:
-            run.append(_flat(child))
-        elif child.tag not in SKIPPED:
-            flush()
-            body = _write(child, kinds).strip("\n")
-            if child.tag == "tr":
-                parts.append("\n" + "\t".join(_write(c, kinds).strip() for c in child.children if isinstance(c, Node)) + "\n")
-            elif child.tag == "li":
+def _write(nodes: list[Node], kinds: set[str]) -> str:
+    """The plain text of the tree, children before parents; inline elements go into the text they stand in."""
+    done = [""] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        node = nodes[k]
+        raw = node.tag == "pre" or node.tag in INLINE
+        if raw:  # the text itself; raised figures keep their meaning
+            text = "".join(c if isinstance(c, str) else done[c] for c in node.children)
+            done[k] = {"2": "²", "3": "³"}.get(text, text) if node.tag == "sup" else text
+            continue
+        parts: list[str] = []
+        run: list[str] = []
+        for child in (*node.children, None):
+            if isinstance(child, str):
+                run.append(child)
+                continue
+            if child is not None and nodes[child].tag in INLINE:
+                run.append(done[child])
+                continue
+            if run:
+                parts.append(_plain("".join(run), kinds))
+                run.clear()
+            if child is None or nodes[child].dropped or nodes[child].tag in SKIPPED:
+                continue
+            tag, body = nodes[child].tag, done[child]
+            if node.tag == "tr":
+                parts.append(("\t" if parts else "") + body.strip())
+            elif len(node.children) == 1 and tag not in ("li", "pre"):
+                parts.append(body)  # without a copy a level
+            elif tag == "li":
                 parts.append(f"\n• {body}\n")
-            elif child.tag == "pre":
-                parts.append("\n" + "\n".join("    " + x for x in child.text().strip("\n").split("\n")) + "\n")
+            elif tag == "pre":
+                parts.append("\n" + "\n".join("    " + x for x in body.strip("\n").split("\n")) + "\n")
             else:
                 parts.append(f"\n{body}\n")
-    flush()
-    return "".join(parts)
-
-
-def _flat(node: Node) -> str:
-    """Text of an inline element; raised and lowered figures keep their meaning."""
-    text = "".join(c if isinstance(c, str) else _flat(c) for c in node.children)
-    if node.tag == "sup" and text in ("2", "3"):
-        return {"2": "²", "3": "³"}[text]
-    return text
+        done[k] = (parts[0] if len(parts) == 1 else "".join(parts)).strip("\n") if k else "".join(parts)
+    return done[0]
 
 
 def clean_markup(text: str | None) -> tuple[str | None, list[str]]:
-    """Plain text and the kinds of markup that were in it; null for null."""
+    """Plain text and the kinds of markup that were in it; null for null.
+
+    Nesting may be of any depth. Two private-use characters that mark kept pieces inside are taken out of the text.
+    """
     if text is None:
         return None, []
     if not re.search(r"[<&`*#>\[{$\\|=~+_'-]", text):
         return text, []
     kinds: set[str] = set()
-    plain = _write(_kept(_tree(text, kinds)), kinds)
+    nodes = _tree(text.replace("\ue000", "").replace("\ue001", ""), kinds)
+    if len(nodes) > 1:
+        _drop_link_blocks(nodes)
+    plain = _write(nodes, kinds)
     return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", plain)).strip("\n"), sorted(kinds)
 
 

@@ -70,6 +70,25 @@ def test_p2_null_and_long():
     assert p02_markup.clean_markup("<div>" * 200 + "甲" * 100_000)[0] == "甲" * 100_000
 
 
+@pytest.mark.parametrize("depth", [5_000, 100_000])
+def test_p2_hostile_nesting(depth):
+    import time
+
+    for text in ("<div>" * depth + "甲" * 1000, "<b>" * depth + "甲", "<div>" * depth + "</p>" * depth, "<a><div>" * depth + "甲" + "</div></a>" * depth):
+        began = time.process_time()
+        plain, kinds = p02_markup.clean_markup(text)
+        assert kinds == ["html"] and set(plain) <= {"甲"} and time.process_time() - began < 20
+    assert p02_markup.clean_markup("\ue0000\ue001" + "\\[" * 10_000)[0].startswith("0")
+
+
+def test_p2_link_blocks_are_judged_by_score():
+    links = "<ul>" + "".join(f"<li><a href='{k}'>目录第{k}项</a></li>" for k in range(9)) + "</ul>"
+    body = "<div><p>" + "基坑开挖前应编制方案，报监理审批，并按方案施工。" * 4 + "</p></div>"
+    assert "目录" not in p02_markup.clean_markup(f"<body>{links}{body}</body>")[0]
+    assert "目录" in p02_markup.clean_markup(links)[0], "a list of links alone is the best there is"
+    assert "说明" in p02_markup.clean_markup(f"<body><p>说明</p>{body}</body>")[0]
+
+
 def test_p3_mapping(spark):
     entries = spark.createDataFrame([("GBT72261", "冷藏库围护材料试验方法标准"), ("JGJ4226", "山岭公路隧道质量验收统一规程"), ("JGJ4926", None)], "standard_code string, standard_name string")
     values = {"ＧＢ／Ｔ７２２６１": "GBT72261", "GB 72261-2011": "GBT72261", "GB/T 7226l": "GBT72261", "JGJ 4262": "JGJ4226", "《冷藏库围护材料式验方法标准》": "GBT72261", "JGJ 4826": "UNMATCHED", "GB 301720": "UNMATCHED", "图集": "UNMATCHED", "4226": "JGJ4226", "冷藏库围护材料试验方法标准（试行）": "GBT72261"}
