@@ -1,65 +1,89 @@
-"""Mapping free-entered values to a canonical list by an n-gram inverted index and weighted cosine."""
+"""Mapping free-entered values to a canonical list by an n-gram inverted index and weighted cosine.
+
+A code's number is indexed by its signs with each one left out in turn, so any two numbers one slip apart share a gram
+and few others do; a name by its three thirds, one of which two changes leave whole. The index gives the candidates,
+whole vectors of weighted n-grams their cosine; candidates further away than the slips allowed are no candidates, and
+the best of the others is accepted from a least cosine and a least lead over the next.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from clausemill.session import read
 
 UNMATCHED = "UNMATCHED"
-#: Least cosine of a candidate, by view, and least lead over another entry that agrees as well.
-LEAST = {"number": 0.03, "name": 0.3}
-MARGIN = 0.02
-#: Characters of a name that may be changed.
-NAME_SLIPS = 2
-
-CODE = re.compile(
-    r"(?<![A-Z0-9])(?:(?P<family>DB\s*\d{2}|GB|JGJ|CJJ|T\s*/?\s*CECS|CECS)[\s_/\-.]*(?P<t>T)?[\s_/\-.]*)?"
-    r"(?P<number>(?=[A-Z]?\d|[A-Z]{2}\d\d)[0-9OILSBZQDG]{3,7})(?![0-9A-Z.])"
-)
+#: Least cosine of an accepted entry, and least lead over the next.
+LEAST, MARGIN = 0.1, 0.02
+#: Slips of a number, and changed characters of a name.
+NUMBER_SLIPS, NAME_SLIPS = 1, 2
+#: Shares of the number and the name in the squared length of a value's vector.
+NUMBER_SHARE, NAME_SHARE = 0.64, 0.36
+#: Slots of the table of document frequencies of name grams: its size doesn't depend on the list.
+SLOTS = 1 << 16
+#: Most code families (GB, JGJ and the like) of a list; they are taken from its codes, and more are refused.
+MOST_FAMILIES = 1000
+
 LETTERS_AS_DIGITS = str.maketrans("OQDILSBZG", "000115826")
 IDEOGRAPHS = re.compile(r"[㐀-鿿豈-﫿]+")
 REMARKS = re.compile(r"[(（\[【〔][^)）\]】〕]*[)）\]】〕]|第[\d.]+[条款章节]")
-PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("family", "number", "name")])
-GRAMS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("view", "gram")]))
+PARSED = "family string, number string, name string"
+
+
+def family_of(code: str) -> tuple[str, str] | None:
+    """Family and number of a list's code; the letter of a recommended standard at the family's end is left out."""
+    match = re.match(r"^(.*?[A-Z])[\s_/\-.]*(\d[\d.]*)$", unicodedata.normalize("NFKC", code).upper())
+    if not match:
+        return None
+    letters = re.sub(r"[\s_/\-.]", "", match[1])
+    return (letters[:-1] if len(letters) > 2 and letters.endswith("T") else letters), match[2]
 
 
-def parse_value(value: str | None) -> tuple[str | None, str | None, str | None]:
+def code_pattern(families: list[str]) -> re.Pattern:
+    """A typed code: a family in any spelling and a number, or a number alone; letters drawn like digits may be digits."""
+    spelled = "|".join(r"[\s/_\-.]*".join(map(re.escape, f)) for f in sorted(families, key=lambda f: (-len(f), f)))
+    family = rf"(?:(?P<family>{spelled})[\s_/\-.]*T?[\s_/\-.]*)?" if families else "(?P<family>(?!))?"
+    return re.compile(rf"(?<![A-Z0-9]){family}(?P<number>(?=[A-Z]?\d|[A-Z]{{2}}\d\d)[0-9OILSBZQDG]{{3,7}})(?![0-9A-Z.])")
+
+
+def parse_value(value: str | None, pattern: re.Pattern) -> tuple[str | None, str | None, str | None]:
     """Family, number and name that a typed value gives; each is null where it gives none."""
     text = unicodedata.normalize("NFKC", value or "").upper()
     text = re.sub(r"\s*[-‐-―−]\s*(?=\d{2,4}(?:\D|$))", "-", text)
-    match = CODE.search(text)
-    family = number = None
-    if match:
-        number = match["number"]
-        family = re.sub(r"[\s/]", "", match["family"] or "") + ("T" if match["t"] and match["family"] else "") or None
+    match = pattern.search(text)
+    family = re.sub(r"[\s/_\-.]", "", match["family"]) if match and match["family"] else None
     name = "".join(IDEOGRAPHS.findall(REMARKS.sub("", text)))
-    return family, number, name if len(name) >= 4 else None
+    return family, match["number"] if match else None, name if len(name) >= 4 else None
+
 
+def number_grams(number: str) -> list[str]:
+    """A number's signs, whole and with each one left out: numbers one slip apart share at least one."""
+    return list(dict.fromkeys([number, *(number[:k] + number[k + 1 :] for k in range(len(number)))]))
 
-@F.pandas_udf(PARSED)
-def parsed(values: pd.Series) -> pd.DataFrame:
-    """parse_value over a column of distinct values."""
-    return pd.DataFrame([parse_value(v) for v in values], columns=["family", "number", "name"])
 
+def thirds(name: str) -> list[str]:
+    """A name cut into as many parts as it may have changes, and one more: one of them stays whole."""
+    edges = [len(name) * k // (NAME_SLIPS + 1) for k in range(NAME_SLIPS + 2)]
+    return [name[a:b] for a, b in zip(edges, edges[1:]) if a < b]
 
-def grams(number: str | None, name: str | None) -> list[tuple[str, str]]:
-    """Distinct character n-grams of both views: pairs of a number's signs with its ends, triples of a name's."""
-    number = number.translate(LETTERS_AS_DIGITS) if number else None
-    # the sorted signs find numbers with two swapped, which may share no inner pair
-    out = [("number", f"^{number}$"[k : k + 2]) for k in range(len(number) + 1)] + [("number", "#" + "".join(sorted(number)))] if number else []
-    out += [("name", f"^{name}$"[k : k + 3]) for k in range(len(name))] if name else []
-    return list(dict.fromkeys(out))
 
+def name_grams(name: str) -> list[str]:
+    """Triples of a name's characters and its ends."""
+    marked = f"^{name}$"
+    return list(dict.fromkeys(marked[k : k + 3] for k in range(len(name))))
 
-@F.pandas_udf(GRAMS)
-def gram_list(number: pd.Series, name: pd.Series) -> pd.Series:
-    """grams over columns."""
-    return pd.Series([[{"view": v, "gram": g} for v, g in grams(a, b)] for a, b in zip(number, name)], dtype=object)
+
+def slot(gram: str) -> int:
+    """A gram's place in the table of document frequencies."""
+    return zlib.crc32(gram.encode()) % SLOTS
 
 
 def slips(a: str, b: str, most: int) -> int:
@@ -79,74 +103,126 @@ def slips(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def _same_family(typed: str | None, meant: str | None) -> bool:
-    """A missing T doesn't matter, nor a family that isn't given."""
-    strip = lambda f: re.sub(r"(?<=[A-Z0-9])T$", "", f)
-    return not typed or not meant or strip(typed) == strip(meant)
-
-
-def agreement(family: str | None, number: str | None, name: str | None, entry: tuple[str | None, str | None, str | None]) -> int | None:
-    """How a value agrees with a list entry, best 0: number, name, number with a letter for
-    a digit, with another slip, name with slips; else null."""
-    meant_family, meant_number, meant_name = entry
-    related = _same_family(family, meant_family)
-    if number and number == meant_number and related:
-        return 0
-    if name and meant_name and meant_name in name:
-        return 1
-    if number and meant_number and related and slips(number, meant_number, 1) <= 1:
-        return 2 if number.translate(LETTERS_AS_DIGITS) == meant_number else 3
-    if name and meant_name and slips(name, meant_name, NAME_SLIPS) <= NAME_SLIPS:
-        return 4
-    return None
-
-
-@F.pandas_udf(T.IntegerType())
-def agreements(value: pd.DataFrame, entry: pd.DataFrame) -> pd.Series:
-    """agreement over candidate pairs."""
-    clean = lambda frame: [tuple(x if isinstance(x, str) else None for x in row) for row in frame[["family", "number", "name"]].itertuples(index=False)]
-    return pd.Series([agreement(*v, e) for v, e in zip(clean(value), clean(entry))], dtype="Int32")
-
-
-def _weighted(df: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """Grams of df with idf weights and the norm over each key and view; grams the list doesn't have weigh as the rarest."""
-    weighted = df.join(weights, ["view", "gram"], "left").withColumn("w", F.coalesce("w", F.lit(6.0)))
-    norms = Window.partitionBy(key, "view")
-    return weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(norms)))
+def _digits(number: str) -> str:
+    return number.translate(LETTERS_AS_DIGITS)
+
+
+class Scorer:
+    """Weighted cosines between values and entries; gram weights are those of the list."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.name = lru_cache(100_000)(self._name)
+        self.number = lru_cache(100_000)(lambda number: frozenset(number_grams(number)))
+
+    def _name(self, name: str) -> tuple[dict[str, float], float]:
+        squares = {g: float(self.weights[slot(g)]) ** 2 for g in name_grams(name)}
+        return squares, sum(squares.values()) ** 0.5
+
+    def cosine(self, number: str | None, name: str | None, entry_number: str | None, entry_name: str | None) -> float:
+        """Each view's part is a unit vector times the root of its share; an entry's views that the value lacks don't count."""
+        dot = own = other = 0.0
+        if number:
+            own += NUMBER_SHARE
+        if name:
+            own += NAME_SHARE
+        other = NUMBER_SHARE * bool(number and entry_number) + NAME_SHARE * bool(name and entry_name)
+        if number and entry_number:
+            a, b = self.number(_digits(number)), self.number(entry_number)
+            dot += NUMBER_SHARE * len(a & b) / (len(a) * len(b)) ** 0.5 if _digits(number) != entry_number else NUMBER_SHARE
+        if name and entry_name:
+            (a, norm_a), (b, norm_b) = self.name(name), self.name(entry_name)
+            dot += NAME_SHARE * sum(w for g, w in a.items() if g in b) / (norm_a * norm_b)
+        return dot / (own * other) ** 0.5 if own and other else 0.0
+
+
+def holds(number: str | None, name: str | None, entry_number: str | None, entry_name: str | None) -> str | None:
+    """What a value has of an entry within the slips allowed, or null."""
+    if number and entry_number:
+        if number == entry_number:
+            return "number"
+        if _digits(number) == entry_number or slips(number, entry_number, NUMBER_SLIPS) <= NUMBER_SLIPS:
+            near = "number with slip"
+        else:
+            near = None
+    else:
+        near = None
+    if name and entry_name:
+        if entry_name in name:
+            return "name"
+        if near is None and slips(name, entry_name, NAME_SLIPS) <= NAME_SLIPS:
+            return "name with slip"
+    return near
 
 
 def map_to_list(values: DataFrame, entries: DataFrame) -> DataFrame:
-    """Distinct values (value) and a list (standard_code, name) -> value, standard_code, how, score.
+    """Distinct values (value) and a list (standard_code, standard_name) -> value, standard_code, how, score.
 
     Every distinct non-blank value gives one row, with UNMATCHED where no entry agrees or where two agree alike. Values
-    are looked up once however many rows hold them; the candidates come from the inverted index alone.
+    are looked up once however many rows hold them; the candidates come from the inverted index alone, which is complete
+    for the slips allowed. Names that share a third with many entries have as many candidates.
     """
-    entries = entries.select("standard_code", "standard_name").filter("standard_code is not null")
-    source = entries.select(F.col("standard_code").alias("entry"), parsed(F.concat_ws(" ", "standard_code", "standard_name")).alias("e"))
-    index = source.withColumn("g", F.explode(gram_list("e.number", "e.name"))).select("entry", "e", "g.*")
-    size = entries.count()  # a list's length
-    weights = index.groupBy("view", "gram").agg(F.log(1 + F.lit(float(max(size, 1))) / F.count("*")).alias("w"))
-    values = values.select("value").filter("trim(value) <> ''").distinct().withColumn("v", parsed("value"))
-    typed = values.withColumn("g", F.explode(gram_list("v.number", "v.name"))).select("value", "v", "g.*")
-    typed = _weighted(typed, weights, "value").select("value", "v", "view", "gram", F.col("w"), F.col("norm").alias("value_norm"))
-    listed = _weighted(index, weights, "entry").select("entry", "e", "view", "gram", F.col("norm").alias("entry_norm"))
-    pairs = typed.join(listed, ["view", "gram"]).groupBy("value", "entry", "view")
-    cosine = F.sum(F.col("w") * F.col("w") / F.col("value_norm") / F.col("entry_norm"))
-    pairs = pairs.agg(cosine.alias("cosine"), F.first("v").alias("v"), F.first("e").alias("e"))
-    near = F.when(F.col("view") == "number", LEAST["number"]).otherwise(LEAST["name"])
-    # candidates that can't agree are passed over before the exact comparison
-    close = lambda field, most: F.coalesce(F.levenshtein(F.col(f"v.{field}"), F.col(f"e.{field}"), most) >= 0, F.lit(False))
-    pairs = pairs.filter((F.col("cosine") >= near) & (close("number", 2) | close("name", NAME_SLIPS) | F.coalesce(F.col("v.name").contains(F.col("e.name")), F.lit(False))))
-    pairs = pairs.groupBy("value", "entry").agg(F.max("cosine").alias("cosine"), F.first("v").alias("v"), F.first("e").alias("e"))
-    pairs = pairs.withColumn("how", agreements("v", "e")).filter("how is not null")
-    ranked = F.array_sort(F.collect_list(F.struct("how", (-F.col("cosine")).alias("cost"), "entry")))
-    best = pairs.groupBy("value").agg(ranked.alias("ranked"))  # as long as the list at most
-    first, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
-    clear = second.isNull() | (second["how"] > first["how"]) | (second["cost"] - first["cost"] >= MARGIN)
-    chosen = best.select("value", F.when(clear, first["entry"]).alias("entry"), first["how"].alias("how"), F.round(-first["cost"], 4).alias("score"))
-    names = F.element_at(F.array(*map(F.lit, ("number", "name", "number with letter", "number with slip", "name with slip"))), F.col("how") + 1)
-    result = values.select("value").join(chosen, "value", "left")
-    return result.select("value", F.coalesce("entry", F.lit(UNMATCHED)).alias("standard_code"), F.when(F.col("entry").isNotNull(), names).alias("how"), F.when(F.col("entry").isNotNull(), F.col("score")).alias("score"))
+    spark = entries.sparkSession
+    entries = entries.select(F.col("standard_code").alias("entry"), F.col("standard_name").alias("listed")).filter("entry is not null").distinct()
+    family_column = F.udf(lambda c: (family_of(c) or (None,))[0], T.StringType())  # rows of the list only
+    families = [r.f for r in entries.select(family_column("entry").alias("f")).filter("f is not null").distinct().limit(MOST_FAMILIES + 1).collect()]
+    if len(families) > MOST_FAMILIES:
+        raise ValueError(f"more than {MOST_FAMILIES} code families")
+    pattern = code_pattern(families)
+
+    def over(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        return lambda batches: map(f, batches)
+
+    def index_entries(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for entry, listed in zip(batch["entry"], batch["listed"]):
+            family, number = family_of(entry) or (None, None)
+            name = "".join(IDEOGRAPHS.findall(REMARKS.sub("", unicodedata.normalize("NFKC", listed or "").upper())))
+            name = name if len(name) >= 4 else None
+            keys = [f"{f}:{g}" for g in number_grams(number) for f in (family, "")] if number else []
+            rows.append((entry, number, name, keys + [f"#{g}" for g in dict.fromkeys(thirds(name or ""))], [slot(g) for g in name_grams(name)] if name else [], sorted({len(x) for x in thirds(name or "")})))
+        return pd.DataFrame(rows, columns=["entry", "entry_number", "entry_name", "keys", "slots", "spans"])
+
+    listed = entries.mapInPandas(over(index_entries), "entry string, entry_number string, entry_name string, keys array<string>, slots array<int>, spans array<int>")
+    counts = listed.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect()  # at most SLOTS rows
+    size = max(1, entries.count())
+    weights = np.full(SLOTS, np.log(1 + size), np.float32)
+    for r in counts:
+        weights[r["slot"]] = np.log(1 + size / r["count"])
+    spans = sorted(r.n for r in listed.select(F.explode("spans").alias("n")).distinct().collect())  # lengths of name parts
+    shared = spark.sparkContext.broadcast(weights)
+
+    def index_values(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for value in batch["value"]:
+            family, number, name = parse_value(value, pattern)
+            keys = [f"{family or ''}:{g}" for g in dict.fromkeys([*number_grams(number), *number_grams(_digits(number))])] if number else []
+            keys += dict.fromkeys(f"#{name[k : k + n]}" for n in spans for k in range(len(name) - n + 1)) if name else []
+            rows.append((value, number, name, keys))
+        return pd.DataFrame(rows, columns=["value", "number", "name", "keys"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        text = lambda x: x if isinstance(x, str) else None
+        for batch in batches:
+            rows = []
+            for value, entry, *views in batch[["value", "entry", "number", "name", "entry_number", "entry_name"]].itertuples(index=False):
+                views = list(map(text, views))
+                if (cosine := scorer.cosine(*views)) >= LEAST and (how := holds(*views)):
+                    rows.append((value, entry, how, cosine))
+            yield pd.DataFrame(rows, columns=["value", "entry", "how", "cosine"])
+
+    values = values.select("value").filter("trim(value) <> ''").distinct()
+    typed = values.mapInPandas(over(index_values), "value string, number string, name string, keys array<string>")
+    index = listed.select("entry", "entry_number", "entry_name", F.explode("keys").alias("key"))
+    pairs = typed.select("value", "number", "name", F.explode("keys").alias("key")).join(index, "key").drop("key")
+    scored = pairs.dropDuplicates(["value", "entry"]).mapInPandas(score, "value string, entry string, how string, cosine double")
+    rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("cosine"), "entry"))
+    best = scored.withColumn("rank", rank).filter("rank <= 2").groupBy("value")  # no more than two a value are sorted on
+    best = best.agg(F.min_by(F.struct("entry", "how", "cosine"), "rank").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("cosine"))).alias("next"))
+    clear = F.col("first.cosine") - F.coalesce("next", F.lit(0.0)) >= MARGIN
+    chosen = best.filter(clear).select("value", "first.entry", "first.how", F.round("first.cosine", 4).alias("score"))
+    return values.join(chosen, "value", "left").select("value", F.coalesce("entry", F.lit(UNMATCHED)).alias("standard_code"), "how", "score")
 
 
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:

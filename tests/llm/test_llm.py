@@ -97,6 +97,37 @@ def test_p3_mapping(spark):
     assert p03_canonical.map_to_list(rows.limit(0), entries).count() == 0
 
 
+def test_p3_index_is_complete():
+    """Every number one slip away and every name two changes away shares a gram with its entry."""
+    random.seed(9)
+    for _ in range(300):
+        number = "".join(random.choices("0123456789", k=random.randint(3, 6)))
+        k = random.randrange(len(number))
+        for typed in (number[:k] + random.choice("0123456789") + number[k + 1 :], number[:k] + number[k + 1 :], number[:k] + "7" + number[k:], number[:k] + number[k : k + 2][::-1] + number[k + 2 :]):
+            assert set(p03_canonical.number_grams(typed)) & set(p03_canonical.number_grams(number))
+            assert p03_canonical.slips(typed, number, 1) <= 1
+        name = list(random.choices("甲乙丙丁戊己庚辛", k=random.randint(4, 15)))
+        parts = p03_canonical.thirds("".join(name))
+        for _ in range(2):
+            at = random.randrange(len(name))
+            random.choice((lambda: name.__setitem__(at, "变"), lambda: name.insert(at, "加"), lambda: name.pop(at)))()
+        assert any(part in "".join(name) for part in parts)
+
+
+def test_p3_postings_do_not_grow_with_the_list():
+    """Index entries that a typed number meets in lists of growing size."""
+    random.seed(10)
+    met = []
+    for size in (1000, 10_000):
+        numbers = random.sample(range(10_000_000, 100_000_000), size)
+        index = {}
+        for n in map(str, numbers):
+            for gram in p03_canonical.number_grams(n):
+                index.setdefault(gram, set()).add(n)
+        met.append(max(len({n for g in p03_canonical.number_grams(str(x)) for n in index.get(g, ())}) for x in numbers[:200]))
+    assert max(met) < 20
+
+
 def test_p4_runs(spark):
     random.seed(2)
     pairs = [("q", random.choice("abcde"), random.randint(1, 30)) for _ in range(3000)] + [("c", "hot", k % 40) for k in range(2000)] + [("q", None, 1)]
