@@ -129,7 +129,8 @@ class Scorer:
         other = NUMBER_SHARE * bool(number and entry_number) + NAME_SHARE * bool(name and entry_name)
         if number and entry_number:
             a, b = self.number(_digits(number)), self.number(entry_number)
-            dot += NUMBER_SHARE * len(a & b) / (len(a) * len(b)) ** 0.5 if _digits(number) != entry_number else NUMBER_SHARE
+            # repeated signs give equal grams: lengths count places, so that they don't bring a number nearer
+            dot += NUMBER_SHARE * (1.0 if _digits(number) == entry_number else len(a & b) / ((len(number) + 1) * (len(entry_number) + 1)) ** 0.5)
         if name and entry_name:
             (a, norm_a), (b, norm_b) = self.name(name), self.name(entry_name)
             dot += NAME_SHARE * sum(w for g, w in a.items() if g in b) / (norm_a * norm_b)
