@@ -35,6 +35,32 @@ def test_p1_headings_and_empty(spark):
     assert p01_scans.repair(scans(spark, [])).count() == 0
 
 
+def test_p1_corrects_pairs_outside_the_table(spark):
+    """A character that no table pairs with the printed one is corrected where its whole context is certain, else left."""
+    texts = SENTENCES * 20 + ["夜间应开启红色示誓灯。", "夜间应开启绿色示警灯。"] + ["绿色建筑应节约用水。"] * 5
+    got = {r.row_id: (r.text, r.kinds) for r in p01_scans.repair(scans(spark, texts)).collect()}
+    assert "誓" not in p01_scans.PRINTED and got[80] == (SENTENCES[3], ["misread"])
+    assert got[81] == (texts[81], []), "a word that is rare here but made of known characters stays"
+
+
+def test_p1_learns_english_headers(spark):
+    """Names that begin like many lone lines are headers; beginnings of sentences are not, also where a line is torn."""
+    lines = ["Drains shall be flushed weekly.", "All joints shall be sealed on both sides."]
+    whole = [" ".join(lines)] * 10
+    torn = [f"All joints shall be\nStandard for sealing of {x} {k + 3}\nsealed on both sides." for k, x in enumerate(("tunnels", "bridges", "towers", "dams", "locks"))]
+    got = {r.row_id: (r.text, r.kinds) for r in p01_scans.repair(scans(spark, whole + torn + ["All joints shall be\nsealed on both sides."])).collect()}
+    for k in range(len(torn)):
+        assert got[10 + k] == (lines[1], ["broken_line", "page_number", "running_header"])
+    assert got[15] == (lines[1], ["broken_line"]) and got[0] == (whole[0], [])
+
+
+def test_p1_triples_of_batches():
+    texts = ["甲乙丙", "", "第12.5节a", "丁\n戊", "甲乙丙"]
+    key, owner = p01_scans.triples_of(texts)
+    got = sorted(zip(owner.tolist(), map(p01_scans.triple_text, key.tolist())))
+    assert got == sorted([(0, "|甲乙"), (0, "甲乙丙"), (0, "乙丙|"), (2, "|第0"), (2, "第0节"), (2, "0节|"), (3, "|丁|"), (3, "|戊|"), (4, "|甲乙"), (4, "甲乙丙"), (4, "乙丙|")])
+
+
 def test_p1_automaton_finds_all():
     random.seed(1)
     words = {"".join(random.choices("abc", k=random.randint(1, 5))): 1 for _ in range(150)}
