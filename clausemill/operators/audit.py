@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clausemill.operators.lexical import contained
+
 #: Value rules: name, pattern of the value, least and most, and how grave a conflict is.
 VALUE_RULES = (
     ("养护时间", r"养护[^。\n]{0,20}?(?:^|[^0-9.])(\d+)\s*(?:d|天)", 1.0, 90.0, "low"),
@@ -51,10 +53,9 @@ def citation_verdict(error: Column, status: Column, deleted: Column, notes: Colu
 
 def longest_keyword(rows: DataFrame, key: str, text: str, words: DataFrame, kind: str, most: int = 3) -> DataFrame:
     """Kinds whose longest keyword in a text is the longest of all, ties up to a few."""
-    listed = words.agg(F.collect_set(F.struct("word", kind)).alias("listed"))
-    hits = rows.crossJoin(F.broadcast(listed)).select(key, F.explode(F.filter("listed", lambda w: F.col(text).contains(w["word"]))).alias("w"))
-    best = hits.groupBy(key, F.col(f"w.{kind}").alias(kind)).agg(F.max(F.length("w.word")).alias("score"))
-    top = best.withColumn("best", F.max("score").over(Window.partitionBy(key))).filter("score = best")
+    hits = contained(rows.select(key, text), text, words, "word", kind)
+    best = hits.groupBy(key, kind).agg(F.max(F.length("word")).alias("score"))
+    top = best.withColumn("best", F.max("score").over(Window.partitionBy(key))).filter("score = best")  # one row a kind
     return top.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(kind))).filter(F.col("r") <= most).select(key, kind, "score")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clausemill.session import materialise
 
@@ -41,11 +41,11 @@ def heading_edges(counts: DataFrame) -> DataFrame:
 
 
 def term_edges(counts: DataFrame, n_files: Column) -> DataFrame:
-    """(term, file, tf), with the number of files -> edges by frequency and idf."""
-    df = F.count("*").over(Window.partitionBy("term"))
-    idf = F.log(n_files / df)
+    """(term, file, tf), with the number of files -> edges by frequency and idf; a term's files are counted before they meet."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(n_files / F.col("df"))
     w = F.when(F.col("tf") > 0, F.col("tf") * idf * TERM).otherwise(idf * TERM * TERM_FLOOR)
-    return counts.select(F.col("term").alias("src"), F.col("file").alias("dst"), w.alias("w"), F.lit("term").alias("etype"))
+    return counts.join(df, "term").select(F.col("term").alias("src"), F.col("file").alias("dst"), w.alias("w"), F.lit("term").alias("etype"))
 
 
 def bm25_edges(scores: DataFrame, has_term: DataFrame, has_heading: DataFrame) -> DataFrame:
@@ -58,10 +58,12 @@ def bm25_edges(scores: DataFrame, has_term: DataFrame, has_heading: DataFrame) -
 def normalised(edges: DataFrame, is_file: Column) -> DataFrame:
     """Merged edges with whole-number weights: two thirds of a source's weight go to files and one to terms."""
     merged = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).withColumn("to_file", is_file)
-    part = Window.partitionBy("src", "to_file")
     share = F.when(F.col("to_file"), FILE_RATIO / (FILE_RATIO + 1)).otherwise(1 / (FILE_RATIO + 1))
-    merged = merged.withColumn("total", F.sum("w").over(part)).filter("total > 0").withColumn("w", F.col("w") / F.col("total") * share)
-    whole = F.col("w") / F.sum("w").over(Window.partitionBy("src"))
+    # at most two rows a source: what it has for files and for terms; a hub's edges are never brought together
+    parts = merged.groupBy("src", "to_file").agg(F.sum("w").alias("total")).filter("total > 0").withColumn("share", share)
+    parts = parts.join(parts.groupBy("src").agg(F.sum("share").alias("shares")), "src")
+    merged = merged.join(parts, ["src", "to_file"])
+    whole = F.col("w") / F.col("total") * F.col("share") / F.col("shares")
     # rounding before the floor keeps the result independent of the order of summation
     return merged.select("src", "dst", "to_file", F.greatest(F.lit(1), F.floor(F.round(whole * UNITS, 6))).cast("int").alias("w_int"))
 

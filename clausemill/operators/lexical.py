@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import ahocorasick
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from clausemill.session import materialise
 
@@ -12,6 +17,9 @@ K1, B = 1.5, 0.75
 #: A term with more postings than this is generic; a section of fewer tokens than LEAST_TOKENS isn't indexed.
 MOST_POSTINGS, LEAST_TOKENS = 5000, 5
 PARTNERS, BIGRAMS = 15, 10
+#: Most words that texts are searched for at once: an automaton of about a kilobyte a word goes to every task.
+MOST_WORDS = 200_000
+WORDS, RUNS = re.compile(r"[a-z0-9]{2,}"), re.compile(r"[一-鿿]{2,}")
 
 
 def token_array(text: Column) -> Column:
@@ -33,21 +41,31 @@ def term_frequency(rows: DataFrame, key: str, text: str) -> DataFrame:
     return tokens(rows, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def runs(items: Column) -> Column:
-    """Distinct items of a sorted array with their counts: (item, n) for each, from the places where the item changes."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | (F.get(items, i) != F.get(items, i - 1)))
-    ends = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(items)))
-    both = lambda s: F.zip_with(s, ends(s), lambda a, z: F.struct(F.get(items, a).alias("item"), (z - a).cast("bigint").alias("n")))
-    return F.element_at(F.transform(F.array(starts), both), 1)
+def python_tokens(text: str) -> list[str]:
+    """token_array of a text."""
+    lower = text.lower()
+    return WORDS.findall(lower) + [run[k : k + 2] for run in RUNS.findall(lower) for k in range(len(run) - 1)]
+
+
+COUNTED = T.StructType([T.StructField("dl", T.IntegerType()), T.StructField("postings", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))])
+
+
+@F.pandas_udf(COUNTED)
+def _counted(texts: pd.Series) -> pd.DataFrame:
+    counts = [Counter(python_tokens(t or "")) for t in texts]
+    return pd.DataFrame({"dl": [sum(c.values()) for c in counts], "postings": [[{"term": t, "tf": n} for t, n in c.items()] for c in counts]})
+
+
+_counted = _counted.asNondeterministic()  # so that it isn't run again for each use of what it gives
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Postings with document length: key, dl, term, tf, of rows with LEAST_TOKENS tokens or more.
 
-    Counted in each row's sorted tokens, so building the index shuffles nothing.
+    Counted in Arrow batches inside each row, so building the index shuffles nothing.
     """
-    held = rows.select(key, F.array_sort(token_array(F.col(text))).alias("toks")).filter(F.size("toks") >= LEAST_TOKENS)
-    return held.select(key, F.size("toks").alias("dl"), F.inline(runs(F.col("toks")))).withColumnsRenamed({"item": "term", "n": "tf"})
+    held = rows.select(key, _counted(F.col(text)).alias("c")).filter(F.col("c.dl") >= LEAST_TOKENS)
+    return held.select(key, "c.dl", F.inline("c.postings"))
 
 
 def corpus_stats(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -105,10 +123,33 @@ def bm25_asked(rows: DataFrame, key: str, text: str, asked: DataFrame) -> DataFr
     return scored.groupBy("qid", key).agg(F.sum(part).alias("score"))
 
 
-def contained(rows: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """Rows joined with the words their text contains; the words, a list of fixed size, go along as one array."""
-    listed = words.agg(F.array_sort(F.collect_set(word)).alias("listed"))
-    return rows.crossJoin(F.broadcast(listed)).withColumn(word, F.explode(F.filter("listed", lambda w: F.col(text).contains(w)))).drop("listed")
+def finder(words: list[str]) -> Callable[[Column], Column]:
+    """A column of those words that a text contains, by one walk over the text with an automaton of them all."""
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        if not words:
+            return pd.Series([[] for _ in texts], dtype=object)
+        automaton.make_automaton()
+        return pd.Series([list(dict.fromkeys(w for _, w in automaton.iter(t or ""))) for t in texts], dtype=object)
+
+    return find.asNondeterministic()  # so that it isn't run again for each use of what it finds
+
+
+def contained(rows: DataFrame, text: str, words: DataFrame, word: str, *more: str) -> DataFrame:
+    """Rows joined with the words their text contains, and with more columns of the words.
+
+    The distinct words, up to MOST_WORDS, go to every task as an automaton; longer lists are refused. Empty words and null
+    texts give nothing.
+    """
+    listed = sorted(r[0] for r in words.select(word).filter(F.col(word) != "").distinct().limit(MOST_WORDS + 1).collect())
+    if len(listed) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
+    found = rows.filter(F.col(text).isNotNull()).withColumn(word, F.explode(finder(listed)(F.col(text))))
+    return found.join(words.select(word, *more).filter(F.col(word) != ""), word) if more else found
 
 
 def cooccurrence(hits: DataFrame, key: str, term: str) -> DataFrame:
@@ -171,10 +212,15 @@ def anomaly_share(rows: DataFrame, key: str, text: str, model: DataFrame, worst:
     return costs.groupBy(key).agg((F.sum(F.when(F.col("bits") > bits, inside).otherwise(0)) / F.sum(inside)).alias("share"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _entropy(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        n = np.array(list(Counter(text).values())) if text else np.empty(0)
+        out.append(float(-(n / n.sum() * np.log2(n / n.sum())).sum()) if len(n) else None)
+    return pd.Series(out, dtype="Float64")
+
+
 def char_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Entropy of a text's characters in bits, computed inside the row."""
-    characters = F.filter(F.split(text, ""), lambda c: c != "")
-    held = rows.select(key, F.array_sort(characters).alias("cs")).filter(F.size("cs") > 0)
-    n = F.size("cs")
-    entropy = F.aggregate(runs(F.col("cs")), F.lit(0.0), lambda acc, r: acc - r["n"] / n * F.log2(r["n"] / n))
-    return held.select(key, entropy.alias("entropy"))
+    """Entropy of a text's characters in bits, computed inside the row; null and empty texts give no row."""
+    return rows.filter(F.length(text) > 0).select(key, _entropy(F.col(text)).alias("entropy"))

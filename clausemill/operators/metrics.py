@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clausemill.session import materialise
+
 
 def picked_percentile(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """Values at fixed places of the sorted column, n times the share rounded down, without interpolation.
 
-    Only counts of equal values are sorted, so a skewed column costs its distinct values.
+    Counts of equal values are range-partitioned; every partition is sorted by itself and shifted by the sum of those
+    before it, one row a partition.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    order = Window.orderBy(value)
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.agg(F.sum("n").alias("total"))
-    placed = counts.withColumn("upto", upto).crossJoin(F.broadcast(total))
+    ranged = materialise(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("held"))
+    before = F.sum("held").over(Window.orderBy("part")) - F.col("held")  # one row a partition
+    shifts = parts.select("part", before.alias("shift"))
+    upto = F.col("shift") + F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    total = parts.agg(F.sum("held").alias("total"))
+    placed = ranged.join(F.broadcast(shifts), "part").withColumn("upto", upto).crossJoin(F.broadcast(total))
     picks = [F.min(F.when(F.col("upto") > F.floor(F.col("total") * share), F.col(value))).alias(name) for name, share in shares.items()]
     return placed.agg(F.max("total").alias("count"), *picks, F.max(value).alias("max"))
 

@@ -13,6 +13,8 @@ from clausemill.operators.sections import keep_best
 
 # Fixed values of the scoring.
 LEAST_SCORE, PPR_DIVISOR, LEGACY_GAIN = 5.0, 40.0, 1.5
+#: Results that a query's list shows.
+MOST_RESULTS = 100
 SUPERSEDED, ABOLISHED = 0.65, 0.4
 AUTHORITY_STEP, AUTHORITY_MOST, REFERENCED_GAIN, TAG_GAIN, TAG_GAIN_KEYWORD = 0.01, 0.2, 1.15, 1.15, 1.5
 RARE = r"防碱|泛碱|背涂|碾压|挤密|焊接|探伤"
@@ -147,12 +149,15 @@ def authority_boost(results: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def version_penalty(results: DataFrame, status: DataFrame) -> DataFrame:
-    """Results of superseded and abolished standards count less and stand last: adds status, penalised and position."""
+    """Results of superseded and abolished standards count less and stand last: adds status, penalised and position.
+
+    Positions are those of the first MOST_RESULTS of a query; no more are kept, already before they are brought together.
+    """
     known = results.join(status.select(F.col("standard_code").alias("code"), "status"), "code", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
     factor = F.when(F.col("status") == "superseded", SUPERSEDED).when(F.col("status") == "abolished", ABOLISHED).otherwise(1.0)
     known = known.withColumn("penalised", factor < 1).withColumn("score", F.col("score") * factor)
     order = Window.partitionBy("qid").orderBy("penalised", F.desc(F.round("score", 6)), "file")
-    return known.withColumn("position", F.row_number().over(order))
+    return known.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MOST_RESULTS)
 
 
 def confidence(score: Column) -> Column:
@@ -209,8 +214,8 @@ def direct_lookup(queries: DataFrame, lookup: DataFrame) -> DataFrame:
     asked = queries.select("qid", plain(normalize_code(code_token(F.col("text")))).alias("c"), F.regexp_extract("text", r"(\d+(?:\.\d+){1,4})\s*条?$", 1).alias("clause")).filter("c <> '' and clause <> ''")
     pairs = lookup.withColumn("c", plain(F.col("code"))).join(F.broadcast(asked), "c")
     found = pairs.withColumn("score", F.when(F.col("number") == F.col("clause"), 100.0).when(F.col("number").startswith(F.concat("clause", F.lit("."))), 90.0)).filter("score is not null")
-    best = F.max("score").over(Window.partitionBy("qid"))
-    return found.withColumn("best", best).filter("score = best").select("qid", "file", "heading", "score")
+    best = found.groupBy("qid").agg(F.max("score").alias("best"))  # one row a query
+    return found.join(best, "qid").filter("score = best").select("qid", "file", "heading", "score")
 
 
 def routed(branches: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -219,5 +224,5 @@ def routed(branches: list[tuple[str, DataFrame]]) -> DataFrame:
     for tier, (name, frame) in enumerate(branches):
         part = frame.select("qid", "file", F.col("score").cast("double").alias("score"), F.lit(name).alias("branch"), F.lit(tier).alias("tier"))
         out = part if out is None else out.unionByName(part)
-    first = F.min("tier").over(Window.partitionBy("qid"))
-    return out.withColumn("first", first).filter("tier = first").select("qid", "file", "score", "branch")
+    first = out.groupBy("qid").agg(F.min("tier").alias("first"))  # one row a query
+    return out.join(first, "qid").filter("tier = first").select("qid", "file", "score", "branch")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from itertools import accumulate
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Words of front matter, and of headings that begin commentary.
 NOISE = (
-    "前言 目次 目录 总则 术语 符号 公告 通知 修订说明 编制说明 条文说明 中华人民共和国 发布 住房城乡建设部 关于发布 施行日期 主编单位 批准部门 批准施行 发布公告 标准由 负责管理 归口 解释 "
-    "编制人员 编制单位 编委 主编 参编 参加编制 主要起草 主要审查 本标准主编 本标准参编 起草人员 审查人员 参加单位 编制组 编写组 技术负责人 技术审定 校核 审核人 审定人 设计单位 勘察单位 施工单位 监理单位 主要编写 副主编"
-).split()
+    "前言", "目次", "目录", "总则", "术语", "符号", "公告", "通知", "修订说明", "编制说明", "条文说明", "中华人民共和国", "发布", "住房城乡建设部", "关于发布", "施行日期", "主编单位", "批准部门", "批准施行", "发布公告",
+    "标准由", "负责管理", "归口", "解释", "编制人员", "编制单位", "编委", "主编", "参编", "参加编制", "主要起草", "主要审查", "本标准主编", "本标准参编", "起草人员", "审查人员", "参加单位", "编制组", "编写组", "技术负责人",
+    "技术审定", "校核", "审核人", "审定人", "设计单位", "勘察单位", "施工单位", "监理单位", "主要编写", "副主编",
+)
 NOISE_ENGLISH = ("Standard for", "Code for", "Technical", "General code")
 COMMENTARY = "条文说明|用词说明"
 TOC_LINE = r"^#{1,3}\s+(目\s*次|目\s*录|Contents)\s*$"
@@ -18,12 +22,25 @@ LEAF = r"^\d+\.\d+(\.\d+)+\s+\S.*$"
 PRIORITY = {"normative": 0, "commentary": 1, "appendix": 2, "reference": 3}
 
 
+LINES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("pos", T.IntegerType())]))
+
+
+@F.pandas_udf(LINES)
+def _placed_lines(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        split = text.split("\n")
+        starts = accumulate((len(line) + 1 for line in split), initial=0)
+        out.append([{"line_no": k, "line": line, "pos": pos} for k, (line, pos) in enumerate(zip(split, starts))])
+    return pd.Series(out, dtype=object)
+
+
 def lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a line: key, line_no, line, pos (in code points) and the text's length."""
-    split = F.split(text, "\n", -1)
-    rows = files.select(key, F.length(text).alias("size"), F.posexplode(split).alias("line_no", "line"))
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("pos", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int"))
+    """One row a line: key, line_no, line, pos (in code points) and the text's length.
+
+    A file is one row, so the offsets are counted inside it and nothing is shuffled.
+    """
+    return files.filter(F.col(text).isNotNull()).select(key, F.length(text).alias("size"), F.inline(_placed_lines(F.col(text))))
 
 
 def is_front_heading(heading: Column) -> Column:

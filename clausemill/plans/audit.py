@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clausemill.operators import audit as ops, search
+from clausemill.operators import audit as ops, lexical, search
 from clausemill.session import read, read_wide
 
 PARAGRAPHS = (
@@ -175,10 +175,9 @@ def j5_unused_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j9_bridge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standards for which a group of terms is in a file: the first group by name."""
-    groups = read(spark, sf_dir, "term_map").agg(F.collect_set(F.struct("term", "term_group")).alias("terms"))
-    rows = read(spark, sf_dir, "kb_search_index").select("file", "heading").distinct().filter("heading is not null").crossJoin(F.broadcast(groups))
-    hits = rows.select("file", F.explode(F.filter("terms", lambda t: F.col("heading").contains(t["term"]))).alias("t"))
-    return hits.groupBy("file").agg(F.min("t.term_group").alias("first_group"), F.countDistinct("t.term_group").alias("n_groups"))
+    rows = read(spark, sf_dir, "kb_search_index").select("file", "heading").distinct().filter("heading is not null")
+    hits = lexical.contained(rows, "heading", read(spark, sf_dir, "term_map"), "term", "term_group")
+    return hits.groupBy("file").agg(F.min("term_group").alias("first_group"), F.countDistinct("term_group").alias("n_groups"))
 
 
 def j10_fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clausemill.operators import sections
+from clausemill.operators import lexical, sections
 from clausemill.session import read, read_wide
 from clausemill.sources import files
 
@@ -49,8 +49,7 @@ def d8_lattice_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(7), F.length("query") - i + 1)), lambda n: F.substr("query", i, n))))
     texts = asked.select("query_id", F.explode(F.array_distinct(pieces)).alias("term"))
     index = read(spark, sf_dir, "kb_search_index").select("file", "heading").distinct().filter("heading is not null")
-    listed = read(spark, sf_dir, "term_map").agg(F.collect_set("term").alias("terms"))
-    degree = index.crossJoin(F.broadcast(listed)).select("file", F.explode(F.filter("terms", lambda t: F.col("heading").contains(t))).alias("term")).groupBy("term").agg(F.countDistinct("file").alias("files"))
+    degree = lexical.contained(index, "heading", read(spark, sf_dir, "term_map"), "term").groupBy("term").agg(F.countDistinct("file").alias("files"))
     terms = read(spark, sf_dir, "term_map").select("term").join(degree, "term", "left")
     return texts.join(terms, "term").select("query_id", "term", F.round(F.log(1 + 5 / F.greatest(F.coalesce("files", F.lit(0)), F.lit(1))), 6).alias("weight"))
 
@@ -97,8 +96,8 @@ def x28_verify_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x26_citation_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clause of its standard for each document that names one of its terms: the first record."""
-    terms = read(spark, sf_dir, "term_map").agg(F.collect_set("term").alias("terms"))
-    hit = lambda frame, key, text: frame.crossJoin(F.broadcast(terms)).select(*key, F.explode(F.filter("terms", lambda t: F.col(text).contains(t))).alias("term"))
+    terms = read(spark, sf_dir, "term_map")
+    hit = lambda frame, key, text: lexical.contained(frame, text, terms, "term").select(*key, "term")
     clauses = read_wide(spark, sf_dir, "read_clause_full").select("rec_id", "standard_code", "clause_text").distinct().filter("clause_text is not null")
     best = hit(clauses, ["rec_id", "standard_code"], "clause_text").groupBy("standard_code", "term").agg(F.min("rec_id").alias("rec_id"))
     docs = hit(read_wide(spark, sf_dir, "documents").select("doc_id", "standard_code", "text"), ["doc_id", "standard_code"], "text")

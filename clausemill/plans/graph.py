@@ -38,20 +38,20 @@ def d6d_heading_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d6e_term_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms in files."""
     n = _files(spark, sf_dir).agg(F.count("*").alias("n_files"))
-    counts = _frequencies(spark, sf_dir).crossJoin(F.broadcast(n))
+    counts = materialise(_frequencies(spark, sf_dir)).crossJoin(F.broadcast(n))
     return ops.term_edges(counts, F.col("n_files")).withColumn("w", F.round("w", 6))
 
 
 def _scores(headings: DataFrame, frequencies: DataFrame, n: DataFrame) -> DataFrame:
     sections = headings.groupBy("file", "term").agg(F.count("*").alias("held"))
-    df = F.count("*").over(ops.Window.partitionBy("term"))
-    rows = frequencies.join(sections, ["file", "term"], "left").crossJoin(F.broadcast(n))
-    return rows.select("term", "file", F.round(F.col("tf") / F.coalesce("held", F.lit(1)) * F.log(F.col("n_files") / df), 6).alias("score"))
+    df = frequencies.groupBy("term").agg(F.count("*").alias("df"))
+    rows = frequencies.join(sections, ["file", "term"], "left").join(df, "term").crossJoin(F.broadcast(n))
+    return rows.select("term", "file", F.round(F.col("tf") / F.coalesce("held", F.lit(1)) * F.log(F.col("n_files") / F.col("df")), 6).alias("score"))
 
 
 def a10_file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean frequency of a term in the sections of a file that hold it, times its idf."""
-    return _scores(_heading_hits(spark, sf_dir), _frequencies(spark, sf_dir), _files(spark, sf_dir).agg(F.count("*").alias("n_files")))
+    return _scores(_heading_hits(spark, sf_dir), materialise(_frequencies(spark, sf_dir)), _files(spark, sf_dir).agg(F.count("*").alias("n_files")))
 
 
 def d6f_bm25_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

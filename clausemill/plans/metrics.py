@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clausemill.operators import metrics as ops
+from clausemill.operators import lexical, metrics as ops
 from clausemill.session import read
 from clausemill.sources import files
 from clausemill.streaming import logs as streams
@@ -42,8 +42,8 @@ def k7_hot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a14_feedback_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches by mode, by day, and by number of results."""
-    _logs(spark, sf_dir).select("mode", F.to_date("ts").cast("string").alias("day"), "results").createOrReplaceTempView("clausemill_logs")
-    return spark.sql("select mode, day, results, cast(grouping_id(mode, day, results) as int) as gid, count(*) as n from clausemill_logs group by grouping sets ((mode), (day), (results))")
+    logs = _logs(spark, sf_dir).select("mode", F.to_date("ts").cast("string").alias("day"), "results")
+    return spark.sql("select mode, day, results, cast(grouping_id(mode, day, results) as int) as gid, count(*) as n from {logs} group by grouping sets ((mode), (day), (results))", logs=logs)
 
 
 def a15_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,7 @@ def a31_frequent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a21_tag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of codes from searches that name a term of the tag's group."""
     logs = _logs(spark, sf_dir).filter("q is not null").select("log_id", F.lower("q").alias("q"), "c")
-    groups = read(spark, sf_dir, "term_map").groupBy().agg(F.collect_set(F.struct("term", "term_group")).alias("terms"))
-    tagged = logs.crossJoin(F.broadcast(groups)).select("log_id", F.explode(F.array_distinct(F.transform(F.filter("terms", lambda t: F.col("q").contains(t["term"])), lambda t: t["term_group"]))).alias("tag"))
+    tagged = lexical.contained(logs.select("log_id", "q"), "q", read(spark, sf_dir, "term_map"), "term", "term_group").select("log_id", F.col("term_group").alias("tag")).distinct()
     pairs = logs.select(F.col("log_id").alias("q"), F.explode(F.array_distinct("c")).alias("code")).filter("code is not null and trim(code) <> ''")
     return ops.tag_scores(pairs, tagged.withColumnRenamed("log_id", "q"))
 
@@ -97,9 +96,8 @@ def a21_tag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a23_tag_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three groups whose terms a golden query names most."""
     asked = read(spark, sf_dir, "golden_queries").select("query_id", "query").distinct().filter("query is not null")
-    groups = read(spark, sf_dir, "term_map").groupBy().agg(F.collect_set(F.struct("term", "term_group")).alias("terms"))
-    hits = asked.crossJoin(F.broadcast(groups)).select("query_id", F.explode(F.filter("terms", lambda t: F.col("query").contains(t["term"]))).alias("t"))
-    counts = hits.groupBy("query_id", F.col("t.term_group").alias("tag")).agg(F.count("*").alias("n"))
+    hits = lexical.contained(asked, "query", read(spark, sf_dir, "term_map"), "term", "term_group")
+    counts = hits.groupBy("query_id", F.col("term_group").alias("tag")).agg(F.count("*").alias("n"))
     best = Window.partitionBy("query_id").orderBy(F.desc("n"), "tag")
     return counts.withColumn("r", F.row_number().over(best)).filter("r <= 3").select("query_id", "tag", "n")
 

@@ -293,7 +293,7 @@ ORACLES = {
     "d4_title_lookup": f"with {_D1} select qid, file, score from tl",
     "d5_direct_lookup": f"with {_D1} select qid, file, heading, score from dt",
     "x9_hybrid_router": f"with {_D1} select * from rt",
-    "x8_version_penalty": f"with {_D1}, s as (select rt.*, coalesce(t.status, 'unknown') as status from (select *, {_CODE} as code from rt) rt left join standard_status t on t.standard_code = code), p as (select *, status in ('superseded', 'abolished') as penalised, score * case status when 'superseded' then 0.65 when 'abolished' then 0.4 else 1 end as s2 from s) select qid, file, status, penalised, row_number() over (partition by qid order by penalised, round(s2, 6) desc, file) as position, round(s2, 4) as score from p",
+    "x8_version_penalty": f"with {_D1}, s as (select rt.*, coalesce(t.status, 'unknown') as status from (select *, {_CODE} as code from rt) rt left join standard_status t on t.standard_code = code), p as (select *, status in ('superseded', 'abolished') as penalised, score * case status when 'superseded' then 0.65 when 'abolished' then 0.4 else 1 end as s2 from s) select * from (select qid, file, status, penalised, row_number() over (partition by qid order by penalised, round(s2, 6) desc, file) as position, round(s2, 4) as score from p) u where position <= 100",
     "x17_cross_references": f"with {_REFS} select * from xr",
     "a11_authority": f"with {_REFS} select target_code, count(distinct source_code) as refs from xr group by 1",
     "x18_ref_neighbours": f"with {_REFS}, b as (select source_code as code, 'out' as way, target_code as other from xr union all select target_code, 'in', source_code from xr), r as (select *, row_number() over (partition by code, way order by other) as r from b) select code, way, other from r where r <= 10",

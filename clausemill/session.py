@@ -44,12 +44,23 @@ def read_wide(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster shares, named by spark.checkpoint.dir; a temporary one in local mode, as in tests.
 
-    The folder is only chosen here when the session names none, as in tests.
+    Elsewhere a session without the setting is refused: a folder of one machine would be lost with it.
     """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "")
+    if named:
+        return named.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return os.path.join(tempfile.gettempdir(), "clausemill-shared")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "clausemill-checkpoints"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from clausemill.session import shared_folder
 
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's state and output, beside the checkpoints the cluster shares; a local one in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "clausemill-streams")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a stream's state and output in the folder the cluster shares; the caller removes it when done with it."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -29,20 +28,34 @@ def window_counts(stream: DataFrame, ts: str, kind: str, size: str, late: str) -
     return timed.groupBy(F.window("_t", size).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), kind, "n")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Everything that is there now through a stream, as a frame: each batch's result is written and the last one read.
+def run_once(stream: DataFrame, name: str, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Everything that is there now through a stream, as a frame.
 
-    Complete and update mode give the windows that are still open at the end too; append mode wouldn't.
+    Each batch is written to a folder of its own, so a batch that is run again replaces itself. Complete mode gives the
+    last batch, append mode all batches together, and update mode the last row of each of the keys.
     """
     spark = stream.sparkSession
     out = folder(spark, name)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
+
+    written: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data")
+        written.append(number)
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    kept = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{out}/data")
+    if mode == "append":
+        return kept.drop("batch")
+    if mode == "update":
+        values = [c for c in stream.columns if c not in keys]
+        return kept.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*").select(*stream.columns)
+    return kept.filter(F.col("batch") == max(written)).drop("batch")
 
 
 def zero_result_feedback(logs: DataFrame) -> DataFrame:

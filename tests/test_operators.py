@@ -1,6 +1,7 @@
 """Small fixtures: nulls, empty frames, ties, repeated rows, and invariants."""
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import functions as F, types as T
 
 from clausemill.functions import support
 from clausemill.operators import graph, lexical, metrics, search, sections, vectors
@@ -72,3 +73,61 @@ def test_last_before_takes_ties(spark):
     points = spark.createDataFrame([(1, 5)], "k int, at int")
     marks = spark.createDataFrame([(1, 5, "same"), (1, 2, "early"), (2, 1, "other")], "k int, at int, v string")
     assert sections.last_before(points, marks, ["k"], "at", "v").first().v == "same"
+
+
+def test_run_once_keeps_every_batch(spark, tmp_path):
+    """Ten rows in five files, one file a trigger: append mode keeps all, update mode the last of each key, complete mode the counts."""
+    from clausemill.streaming import logs
+
+    for k in range(5):
+        spark.createDataFrame([(f"u{k % 2}", 2 * k), (f"u{k % 2}", 2 * k + 1)], "user string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("user string, n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert sorted(r.n for r in logs.run_once(source(), "t", "append").collect()) == list(range(10))
+    counts = source().groupBy("user").agg(F.count("*").alias("c"))
+    want = {"u0": 6, "u1": 4}
+    assert {r.user: r.c for r in logs.run_once(counts, "t", "update", ["user"]).collect()} == want
+    assert {r.user: r.c for r in logs.run_once(counts, "t").collect()} == want
+    with pytest.raises(ValueError):
+        logs.run_once(counts, "t", "update")
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema("user string, n int").parquet(str(tmp_path / "none"))
+    assert logs.run_once(empty, "t", "append").count() == 0
+
+
+def test_json_lines_skip_or_refuse_bad_lines(spark, tmp_path):
+    from clausemill.sources import files
+
+    (tmp_path / "log.json").write_text('{"q": "甲", "n": 1}\n\nnot json\n{"q": "乙", "n": "x"}\n{"q": null}\n')
+    schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("n", T.IntegerType())])
+    assert [(r.q, r.n) for r in files.json_lines(spark, str(tmp_path), schema).collect()] == [("甲", 1), (None, None)]
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        files.json_lines(spark, str(tmp_path), schema, strict=True).collect()
+
+
+def test_markdown_folder(spark, tmp_path):
+    from clausemill.sources import files
+
+    (tmp_path / "a.md").write_text("---\ntitle: 甲标准\ntags: x\n---\n# 1 总则\n")
+    (tmp_path / "b.md").write_text("# 无题\n")
+    assert {r.file: (r.title, r.text[:3]) for r in files.markdown_folder(spark, str(tmp_path)).collect()} == {"a.md": ("甲标准", "---"), "b.md": (None, "# 无")}
+
+
+def test_shared_folder_is_refused_off_local_mode():
+    from types import SimpleNamespace
+
+    from clausemill.session import shared_folder
+
+    context = lambda master, named="": SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, d: named)))
+    assert shared_folder(context("yarn", "hdfs://x/")) == "hdfs://x" and shared_folder(context("local[4]"))
+    with pytest.raises(ValueError):
+        shared_folder(context("yarn"))
+
+
+def test_contained_refuses_long_lists_and_finds_nested_words(spark):
+    words = spark.createDataFrame([("甲乙", 1), ("乙", 2), ("", 3), (None, 4)], "word string, kind int")
+    rows = spark.createDataFrame([("x", "甲乙丙"), ("y", None), ("z", "")], "key string, text string")
+    assert {(r.key, r.word, r.kind) for r in lexical.contained(rows, "text", words, "word", "kind").collect()} == {("x", "甲乙", 1), ("x", "乙", 2)}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lexical, "MOST_WORDS", 1)
+        with pytest.raises(ValueError):
+            lexical.contained(rows, "text", words, "word")
