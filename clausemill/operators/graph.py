@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clausemill.session import materialise
@@ -118,6 +121,63 @@ def discovered(p: DataFrame, files: DataFrame) -> DataFrame:
     return seen.select(F.col("node").alias("file"), F.round(F.col("p") * SHOWN, 1).alias("score"))
 
 
+#: Numbers of a block of questions' masses on terms, as many as go to every task at once (16 MB).
+BLOCK_CELLS = 2_000_000
+
+
+def inject_asked(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """inject for every question: (qid, node, e), each question's seeds summing to one."""
+    near = edges.filter("to_file").join(seeds.withColumnRenamed("node", "src"), "src").groupBy("qid", F.col("dst").alias("node")).agg(F.sum(F.col("e") * INJECTED).alias("e"))
+    every = seeds.unionByName(near.join(seeds, ["qid", "node"], "left_anti"))
+    total = every.groupBy("qid").agg(F.sum("e").alias("total")).filter("total > 0")
+    return every.join(total, "qid").select("qid", "node", (F.col("e") / F.col("total")).alias("e"))
+
+
+def discover_asked(seeds: DataFrame, transitions: DataFrame, rounds: int = ROUNDS, restart: float = RESTART) -> DataFrame:
+    """Files that each question's walk reaches: qid, file, p, those of p over VISIBLE.
+
+    seeds: (qid, node, e). No edge leaves a file, so the rounds run between terms alone, one join and one aggregation of
+    qid and term each; the last step to the files is a product of the terms' masses, in blocks of questions that go to
+    every task, with the edges into each file, so that questions times edges are never rows.
+    """
+    start = materialise(seeds.select("qid", "node", "e"))
+    between, into = transitions.filter("not to_file"), transitions.filter("to_file")
+    p = start.withColumnRenamed("e", "p")
+    for _ in range(rounds - 1):
+        moved = between.join(p.withColumnRenamed("node", "src"), "src").select("qid", F.col("dst").alias("node"), (F.col("p") * F.col("m") * (1 - restart)).alias("p"))
+        p = moved.unionByName(start.select("qid", "node", (F.col("e") * restart).alias("p"))).groupBy("qid", "node").agg(F.sum("p").alias("p"))
+    p = materialise(p.join(into.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
+    per_file = materialise(into.groupBy(F.col("dst").alias("file")).agg(F.collect_list(F.struct("src", "m")).alias("ins")))
+    terms = [r.node for r in p.select("node").distinct().collect()]
+    qids = sorted(r.qid for r in p.select("qid").distinct().collect())
+    kind = seeds.schema["qid"].dataType.simpleString()
+    own = start.select("qid", F.col("node").alias("file"), (F.col("e") * restart).alias("p")).join(per_file.select("file"), "file", "left_semi").select("qid", "file", "p")
+    step = max(1, BLOCK_CELLS // max(1, len(terms)))
+    parts = [own] + [_into_files(p, per_file, terms, qids[k : k + step], 1 - restart, kind) for k in range(0, len(qids), step)]
+    return reduce(DataFrame.unionByName, parts).groupBy("qid", "file").agg(F.sum("p").alias("p")).filter(F.col("p") > VISIBLE)
+
+
+def _into_files(p: DataFrame, per_file: DataFrame, terms: list[str], qids: list, share: float, kind: str) -> DataFrame:
+    row, column = {q: k for k, q in enumerate(qids)}, {t: k for k, t in enumerate(terms)}
+    mass = np.zeros((len(qids), len(terms)))
+    block = p.filter((F.col("qid") >= qids[0]) & (F.col("qid") <= qids[-1])).toPandas()
+    mass[block["qid"].map(row), block["node"].map(column)] = block["p"]
+    shared = p.sparkSession.sparkContext.broadcast((np.array(qids), column, mass))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, place, held = shared.value
+        for batch in batches:
+            for file, ins in zip(batch["file"], batch["ins"]):
+                known = [(place[x["src"]], x["m"]) for x in ins if x["src"] in place]
+                if known:
+                    at, m = zip(*known)
+                    got = held[:, at] @ np.array(m) * share
+                    some = got > 0
+                    yield pd.DataFrame({"qid": asked[some], "file": file, "p": got[some]})
+
+    return per_file.mapInPandas(multiply, f"qid {kind}, file string, p double")
+
+
 def health(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Isolated share of the nodes, ratio of the edge kinds, and out-degrees."""
     degree = nodes.join(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"), F.count_if("to_file").alias("f")), "node", "left").fillna(0)
@@ -126,8 +186,3 @@ def health(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.sum("f"), F.sum(F.col("d") - F.col("f"))), 6).alias("file_ratio"),
         F.round(F.avg("d"), 4).alias("avg_degree"), F.percentile("d", 0.5).alias("median_degree"), F.max("d").alias("max_degree"),
     )
-
-
-def lattice_boost(degree: int) -> float:
-    """Weight of a vocabulary word by the number of files it leads to."""
-    return math.log(1 + 5 / max(degree, 1))
