@@ -48,7 +48,7 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(words, F.array(code)), lambda w: w != ""))
 
 
-def finder(asked: list[tuple[int, list[str]]]) -> Callable[[Column], Column]:
+def finder(asked: list[tuple[int | str, list[str]]], kind: str) -> Callable[[Column], Column]:
     """Finds the keywords that a text contains, and the queries they belong to, by an index of the keywords' first two signs.
 
     A text costs one look at each of its distinct pairs of signs, and one at each keyword that begins with one of them.
@@ -61,7 +61,7 @@ def finder(asked: list[tuple[int, list[str]]]) -> Callable[[Column], Column]:
         heads[word[:2]].append(word)
     owners, heads = dict(owners), dict(heads)
 
-    @F.pandas_udf("found array<string>, qids array<bigint>")
+    @F.pandas_udf(f"found array<string>, qids array<{kind}>")
     def find(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
@@ -82,13 +82,13 @@ def keyword_search(queries: DataFrame, sections: DataFrame) -> DataFrame:
     without their text before that, and scores aren't shuffled.
     """
     asked = queries.select("qid", keywords(F.col("text")).alias("kws"), F.filter(F.split(F.lower(F.trim("text")), r"[\s　]+"), lambda w: w != "").alias("own"))
-    find = finder([(r.qid, r.kws) for r in asked.select("qid", "kws").collect()])
+    find = finder([(r.qid, r.kws) for r in asked.select("qid", "kws").collect()], queries.schema["qid"].dataType.simpleString())
     usable = sections.filter(~F.col("heading").rlike(CONTENTS_HEADING))
     front = F.regexp_extract("segment", f"(?s)^(.*?)(?:{FRONT})", 1)
     segment = F.lower(F.when(F.col("segment").rlike(FRONT), front).otherwise(F.col("segment")))
     held = usable.select("file", "code", "sid", "heading", "length", find(segment).alias("m")).filter(F.size("m.qids") > 0).repartition("file")
     pairs = held.select("file", "code", "sid", "heading", "length", "m.found", F.explode("m.qids").alias("qid"))
-    pairs = pairs.withColumn("qid", F.col("qid").cast(queries.schema["qid"].dataType)).join(F.broadcast(asked), "qid")
+    pairs = pairs.join(F.broadcast(asked), "qid")
     hit = lambda where: F.filter("kws", lambda k: where.contains(k))
     pairs = pairs.withColumn("matched", F.array_intersect("kws", "found"))
     weighted = F.aggregate("matched", F.lit(0.0), lambda s, k: s + rarity(k))

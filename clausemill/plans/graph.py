@@ -64,15 +64,20 @@ def d6a_cooc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cooccurrence_edges(lexical.cooccurrence(_heading_hits(spark, sf_dir), "section_id", "term"))
 
 
-def d6b_bigram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that follow each other in queries."""
+def followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that follow each other in queries: w1, w2, prob of the most frequent followers."""
     logs = read(spark, sf_dir, "search_log").select("log_id", "q").distinct().filter("q is not null")
     words = F.filter(F.split(F.lower("q"), r"[\s　]+"), lambda w: w != "")
     pairs = F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.struct(F.get("ws", i).alias("w1"), F.get("ws", i + 1).alias("w2")))
     counts = logs.select(words.alias("ws")).filter(F.size("ws") >= 2).select(F.inline(pairs)).groupBy("w1", "w2").agg(F.count("*").alias("freq"))
     terms = _terms(spark, sf_dir)
     counts = counts.join(terms.withColumnRenamed("term", "w1"), "w1", "left_semi").join(terms.withColumnRenamed("term", "w2"), "w2", "left_semi")
-    return ops.bigram_edges(lexical.top_followers(counts)).withColumn("w", F.round("w", 8))
+    return lexical.top_followers(counts)
+
+
+def d6b_bigram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that follow each other in queries."""
+    return ops.bigram_edges(followers(spark, sf_dir)).withColumn("w", F.round("w", 8))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,11 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "code", "sid", "heading", "length", F.substr("text", F.col("pos") + 1, F.col("length")).alias("segment"))
 
 
+def _index_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the index says that sections begin: file, sid, pos."""
+    return read(spark, sf_dir, "kb_search_index").filter("heading is not null").groupBy("file", "sid").agg(F.min("pos").alias("pos"))
+
+
 def d1_keyword_search(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Best section of every file for every question."""
     return ops.keyword_search(_asked(spark, asked), _sections(spark, sf_dir))
