@@ -154,13 +154,6 @@ def a30_type_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.longest_keyword(rows, "query_id", "query", words, "kind")
 
 
-def j2_status_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the state of their standard, unknown where the list has none."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("standard_code").alias("code"))
-    listed = read(spark, sf_dir, "standard_status").select(F.col("standard_code").alias("code"), "status")
-    return rows.join(listed, "code", "left").groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
-
-
 def j4_used_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standards of the list that citations use."""
     used = read(spark, sf_dir, "plan_writer_citation_summary_sample").select("official_code").distinct()
@@ -225,13 +218,6 @@ def k3_layered_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.row_number().over(order).alias("position"))
 
 
-def f25_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name of each file's standard: its title, else its file name's, else the commonest in clause records."""
-    files = read(spark, sf_dir, "kb_md").groupBy("file").agg(F.max("title").alias("title"))
-    own = F.nullif(F.regexp_extract("file", r"^_seg\d+_\S+ \S+ (.+)_p\d+-\d+_\d+\.md$", 1), F.lit(""))
-    return files.select("file", F.coalesce("title", own).alias("name"), F.when(F.col("title").isNotNull(), 1).when(own.isNotNull(), 2).otherwise(3).alias("level"))
-
-
 def f33_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places that documents give for meetings and issues."""
     place = F.nullif(F.regexp_extract("text", r"会议地点：([^，。\n]{2,12})", 1), F.lit(""))
@@ -278,13 +264,7 @@ def s7_split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", F.inline(split_plan(F.col("pages") * 0.5, F.col("pages"))))
 
 
-def filter9_local_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that refer to a local standard of another province than 91."""
-    codes = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(DB\d{2})/T \d{4}"), F.lit(1)))
-    return read_wide(spark, sf_dir, "documents").select("doc_id", F.explode(codes).alias("province")).filter("province <> 'DB91'")
-
-
-def x2_preferred_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x4_preferred_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose front matter has a tag that is asked for, with the gain of their score."""
     tags = F.split(F.regexp_replace(F.regexp_extract("text", r"(?m)^tags:\s*\[(.*?)\]", 1), r"\s", ""), ",")
     rows = read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])
@@ -296,8 +276,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         a26_value_conflicts, a26_document_conflicts, x29_broken_refs, x24_citation_mining, x23_citation_resolution, x14_read_clause, x15_crossref_hop, x16_image_search, x27_chapter_recommendation, x30_standards_list, x31_chapter_depth, x33_auto_annotation,
-        x34_term_candidates, x35_golden_templates, x36_integrity, x37_provenance, w13_latest_versions, a25_repeated_neighbours, a30_type_scores, j2_status_alias, j4_used_standards, j5_unused_standards, j9_bridge_join, j10_fallback_chain, j13_scalar_join,
-        u4_set_operations, u5_heading_merge, u6_distinct_in_order, k3_layered_sort, f25_names, f33_locations, f34_shifted_dates, f35_fingerprints, f37_document_keywords, f38_citable, f39_order_parse, s7_split_plan, filter9_local_region, x2_preferred_tags,
+        x34_term_candidates, x35_golden_templates, x36_integrity, x37_provenance, w13_latest_versions, a25_repeated_neighbours, a30_type_scores, j4_used_standards, j5_unused_standards, j9_bridge_join, j10_fallback_chain, j13_scalar_join,
+        u4_set_operations, u5_heading_merge, u6_distinct_in_order, k3_layered_sort, f33_locations, f34_shifted_dates, f35_fingerprints, f37_document_keywords, f38_citable, f39_order_parse, s7_split_plan, x4_preferred_tags,
     )
 }
 
@@ -335,7 +315,6 @@ ORACLES = {
     "w13_latest_versions": r"with r as (select distinct file, regexp_extract(file, '_seg\d+_(\S+ \d+)-\d{4}', 1) as code, regexp_extract(file, '_seg\d+_\S+ \d+-(\d{4})', 1) as year from kb_md) select file, case when year < max(year) over (partition by code) then 'old' when row_number() over (partition by code, year order by file) > 1 then 'duplicate' else 'latest' end as state from r where code <> ''",
     "a25_repeated_neighbours": "with p as (select doc_id, unnest(range(0, len(s))) as i, unnest(s) as p from (select doc_id, string_split(text, chr(10)) as s from documents) u), l as (select *, lag(p) over (partition by doc_id order by i) as b from p) select doc_id, count(*) as n from l where p = b and length(p) > 0 group by doc_id",
     "a30_type_scores": "with q as (select distinct query_id, query from golden_queries where query is not null), b as (select query_id, term_group as kind, max(length(term)) as score from q join term_map on contains(query, term) group by all), t as (select *, max(score) over (partition by query_id) as best from b), r as (select *, row_number() over (partition by query_id order by kind) as r from t where score = best) select query_id, kind, score from r where r <= 3",
-    "j2_status_alias": "select coalesce(status, 'unknown') as status, count(*) as n from documents d left join standard_status s on d.standard_code = s.standard_code group by 1",
     "j4_used_standards": "select standard_code from standard_status where official_code in (select official_code from plan_writer_citation_summary_sample)",
     "j5_unused_standards": "select standard_code from standard_status s where not exists (select 1 from plan_writer_citation_summary_sample c where c.official_code = s.official_code)",
     "j9_bridge_join": "with h as (select distinct file, heading from kb_search_index where heading is not null) select file, min(term_group) as first_group, count(distinct term_group) as n_groups from h join term_map on contains(heading, term) group by file",
@@ -345,7 +324,6 @@ ORACLES = {
     "u5_heading_merge": r"with a as (select distinct substr(regexp_replace(heading, '\s+', '', 'g'), 1, 40) as h from kb_search_index), b as (select distinct substr(regexp_replace(source_heading, '\s+', '', 'g'), 1, 40) as h from read_clause_full) select 'index' as origin, count(*) as n from a where h <> '' union all select 'records', count(*) from b where h <> '' and h not in (select h from a where h is not null)",
     "u6_distinct_in_order": "with l as (select log_id, any_value(c) as c from search_log group by 1) select log_id, array_to_string(list_filter(c, lambda x, i: x is not null and list_position(c, x) = i), '|') as codes from l where c is not null",
     "k3_layered_sort": "with r as (select distinct on (item_id) * from plan_writer_citation_summary_sample) select item_id, row_number() over (partition by plan_id order by coalesce(audit_status = 'fail', false), coalesce(in_clause, false) desc, item_id) as position from r",
-    "f25_names": r"with f as (select file, max(title) as title, nullif(regexp_extract(file, '^_seg\d+_\S+ \S+ (.+)_p\d+-\d+_\d+\.md$', 1), '') as own from kb_md group by file) select file, coalesce(title, own) as name, case when title is not null then 1 when own is not null then 2 else 3 end as level from f",
     "f33_locations": r"with p as (select doc_id, nullif(regexp_extract(text, '会议地点：([^，。\n]{2,12})', 1), '') as place from documents) select * from p where place is not null",
     "f34_shifted_dates": "select standard_code, strftime(try_cast(effective_date as date) + 7, '%Y-%m-%d') as shifted from standard_status where try_cast(effective_date as date) is not null",
     "f35_fingerprints": 'select distinct file, substr(md5(text), 1, 8) as short, sha256(text) as "long" from kb_md',
@@ -354,6 +332,5 @@ ORACLES = {
     "f39_order_parse": r"with r as (select * from (values ('B>A>C'), ('排序：C > A > B。'), ('A 最好，其次 C'), ('无')) v(raw)), w as (select raw, regexp_extract(raw, '([ABC]\s*>\s*[ABC]\s*>\s*[ABC])', 1) as w, regexp_extract_all(raw, '[ABC]') as l from r) select raw, case when w <> '' then replace(w, ' ', '') else array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], '>') end as ranking from w",
     "s7_split_plan": r"""with r as (select distinct file, try_cast(regexp_extract(file, '_p\d+-(\d+)_', 1) as int) as pages from kb_md), p as (select file, pages, cast(greatest(ceil(pages / 200), ceil(pages * 0.5 / 200.0), 1) as int) as parts from r where pages is not null),
 s as (select *, cast(ceil(pages / parts) as int) as step from p), x as (select file, pages, step, unnest(range(1, parts + 1)) as k from s) select file, cast((k - 1) * step + 1 as int) as first, cast(least(k * step, pages) as int) as last from x where (k - 1) * step + 1 <= least(k * step, pages)""",
-    "filter9_local_region": r"select distinct doc_id, p as province from (select doc_id, unnest(regexp_extract_all(text, '(DB\d{2})/T \d{4}', 1)) as p from documents) u where p <> 'DB91'",
-    "x2_preferred_tags": r"with f as (select file, any_value(text) as t from kb_md group by file) select file, cast(case when len(list_intersect(string_split(regexp_replace(regexp_extract(t, '(?m)^tags:\s*\[(.*?)\]', 1), '\s', '', 'g'), ','), ['管道试压', '张拉'])) > 0 then 1.15 else 1.0 end as double) as gain from f",
+    "x4_preferred_tags": r"with f as (select file, any_value(text) as t from kb_md group by file) select file, cast(case when len(list_intersect(string_split(regexp_replace(regexp_extract(t, '(?m)^tags:\s*\[(.*?)\]', 1), '\s', '', 'g'), ','), ['管道试压', '张拉'])) > 0 then 1.15 else 1.0 end as double) as gain from f",
 }

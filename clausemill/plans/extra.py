@@ -73,17 +73,17 @@ def w15_heading_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x13_located_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses of a number read from the files: from their line up to the next numbered line or heading."""
+    """Numbered clauses of the files: from their line up to the next numbered line or heading."""
     at = sections.lines(read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"]), "file", "text")
     own = Window.partitionBy("file").orderBy("line_no")
     head = F.col("line").rlike(r"^#{1,3}\s|^\d+\.\d+(\.\d+)*\s")
     block = F.sum(head.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
     rows = at.withColumn("block", block).withColumn("number", F.regexp_extract("line", r"^(\d+\.\d+\.\d+)\s", 1))
     found = rows.groupBy("file", "block").agg(F.max("number").alias("number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return found.filter("number = '3.1.1'").select("file", F.length("body").alias("chars"), F.md5("body").alias("fingerprint"))
+    return found.filter("number <> ''").select("file", "block", "number", F.length("body").alias("chars"), F.md5("body").alias("fingerprint"))
 
 
-def x28_verify_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a20_citation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of citations by kind: unknown codes, missing clauses, states, values."""
     rows = read(spark, sf_dir, "plan_writer_citation_summary_sample").dropDuplicates(["item_id"])
     listed = read(spark, sf_dir, "standard_status").select("official_code", F.lit(True).alias("known"))
@@ -104,7 +104,7 @@ def x26_citation_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(best, ["standard_code", "term"]).groupBy("doc_id").agg(F.countDistinct("term").alias("terms"), F.min("rec_id").alias("rec_id"))
 
 
-def x39_parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of one term in every clause over a grid of k1 and b: the best clause of each setting."""
     from clausemill.operators.lexical import term_count, token_count
 
@@ -117,7 +117,7 @@ def x39_parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", score).groupBy("k1", "b").agg(F.max("score").alias("score"), F.min_by("rec_id", F.struct(-F.col("score"), "rec_id")).alias("rec_id"))
 
 
-QUERIES = {f.__name__: f for f in (s4_layout_text, s5_running_blocks, s10_status_cells, d2_expansion, d8_lattice_matches, w3_body_start, w15_heading_scores, x13_located_clauses, x28_verify_suite, x26_citation_suggestions, x39_parameter_grid)}
+QUERIES = {f.__name__: f for f in (s4_layout_text, s5_running_blocks, s10_status_cells, d2_expansion, d8_lattice_matches, w3_body_start, w15_heading_scores, x13_located_clauses, a20_citation_issues, x26_citation_suggestions, bm25_parameter_grid)}
 
 _FILES = "files as (select file, any_value(text) as body, any_value(length(text)) as size from kb_md group by file)"
 _LINES = f"{_FILES}, split as (select file, string_split(body, chr(10)) as ls from files), ls as (select file, unnest(range(0, len(ls))) as line_no, unnest(ls) as line from split), lines as (select *, cast(coalesce(sum(length(line) + 1) over (partition by file order by line_no rows between unbounded preceding and 1 preceding), 0) as int) as pos from ls)"
@@ -129,10 +129,10 @@ ORACLES = {
     "d8_lattice_matches": "with q as (select distinct query_id, query from golden_queries), d as (select term, count(distinct file) as files from kb_search_index join term_map on contains(heading, term) group by term) select query_id, m.term, round(ln(1 + 5 / greatest(coalesce(files, 0), 1)), 6) as weight from q join term_map m on contains(query, m.term) and length(m.term) between 2 and 7 left join d on d.term = m.term",
     "w3_body_start": f"with {_LINES}, t as (select *, min(case when regexp_matches(line, '{sections.TOC_LINE}') then pos end) over (partition by file) as toc from lines) select file, min(pos) as body_start from t where regexp_matches(line, '{sections.BODY_LINE}') and pos > coalesce(toc, -1) group by file",
     "w15_heading_scores": rf"with {_LINES}, m as (select *, avg(length(line)) over (partition by file) as mean, lead(length(line)) over (partition by file order by line_no) as nx from lines where line <> ''), s as (select file, (length(line) < 30)::int + regexp_matches(line, '^(#{{1,3}}\s+)?(\d+(\.\d+)*|附录)\s')::int * 2 + coalesce(nx > length(line), false)::int + (length(line) * 2 < mean)::int as score from m) select file, score, count(*) as n from s group by all",
-    "x13_located_clauses": rf"with {_LINES}, b as (select *, sum(regexp_matches(line, '^#{{1,3}}\s|^\d+\.\d+(\.\d+)*\s')::int) over (partition by file order by line_no) as block, regexp_extract(line, '^(\d+\.\d+\.\d+)\s', 1) as number from lines), g as (select file, block, max(number) as number, string_agg(line, chr(10) order by line_no) as body from b group by all) select file, length(body) as chars, md5(body) as fingerprint from g where number = '3.1.1'",
-    "x28_verify_suite": "with r as (select distinct on (item_id) * from plan_writer_citation_summary_sample), i as (select plan_id, 'unknown_code' as issue from r where official_code is not null and official_code not in (select official_code from standard_status) union all select plan_id, 'clause' from r where not coalesce(in_clause, true) union all select plan_id, 'version' from r where version_status in ('abolished', 'superseded') union all select plan_id, 'value' from r where list_contains(review_reasons, 'value_mismatch')) select plan_id, issue, count(*) as n from i group by all",
+    "x13_located_clauses": rf"with {_LINES}, b as (select *, sum(regexp_matches(line, '^#{{1,3}}\s|^\d+\.\d+(\.\d+)*\s')::int) over (partition by file order by line_no) as block, regexp_extract(line, '^(\d+\.\d+\.\d+)\s', 1) as number from lines), g as (select file, block, max(number) as number, string_agg(line, chr(10) order by line_no) as body from b group by all) select file, block, number, length(body) as chars, md5(body) as fingerprint from g where number <> ''",
+    "a20_citation_issues": "with r as (select distinct on (item_id) * from plan_writer_citation_summary_sample), i as (select plan_id, 'unknown_code' as issue from r where official_code is not null and official_code not in (select official_code from standard_status) union all select plan_id, 'clause' from r where not coalesce(in_clause, true) union all select plan_id, 'version' from r where version_status in ('abolished', 'superseded') union all select plan_id, 'value' from r where list_contains(review_reasons, 'value_mismatch')) select plan_id, issue, count(*) as n from i group by all",
     "x26_citation_suggestions": "with c as (select standard_code, term, min(rec_id) as rec_id from read_clause_full join term_map on contains(clause_text, term) group by all) select doc_id, count(distinct c.term) as terms, min(rec_id) as rec_id from documents d join c on d.standard_code = c.standard_code and contains(d.text, c.term) group by doc_id",
-    "x39_parameter_grid": r"""with g as (select * from (select unnest([0.9, 1.2, 1.5, 2.0])::double as k1) a, (select unnest([0.3, 0.5, 0.75, 1.0])::double as b) c), r as (select distinct rec_id, clause_text as t from read_clause_full where clause_text <> ''),
+    "bm25_parameter_grid": r"""with g as (select * from (select unnest([0.9, 1.2, 1.5, 2.0])::double as k1) a, (select unnest([0.3, 0.5, 0.75, 1.0])::double as b) c), r as (select distinct rec_id, clause_text as t from read_clause_full where clause_text <> ''),
 k as (select rec_id, len(regexp_extract_all(lower(t), '[a-z0-9]{2,}')) + coalesce(list_sum(list_transform(regexp_extract_all(t, '[一-鿿]{2,}'), lambda x: length(x) - 1)), 0) as dl, (length(t) - length(replace(t, '模板', ''))) / 2 as tf from r),
 s as (select k1, b, rec_id, round(tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (select avg(dl) from k))), 5) as score from k, g where tf > 0), o as (select *, row_number() over (partition by k1, b order by score desc, rec_id) as n from s) select k1, b, score, rec_id from o where n = 1""",
 }

@@ -110,10 +110,9 @@ def filter4_short_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter5_generic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms left when the generic ones, of more than a twentieth of the clauses, are dropped."""
+    """Terms left when the generic ones, of more than MOST_POSTINGS postings, are dropped."""
     postings = lexical.postings(_clauses(spark, sf_dir), "rec_id", "clause_text").groupBy("term").agg(F.count("*").alias("df"))
-    n = _clauses(spark, sf_dir).agg(F.count("*").alias("n"))
-    return postings.crossJoin(F.broadcast(n)).filter("df * 20 <= n").select("term", "df")
+    return postings.filter(F.col("df") <= lexical.MOST_POSTINGS)
 
 
 def filter6_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +203,7 @@ inside as (select *, greatest(0, least(n, greatest(1, floor(total * 0.05)) - bef
 select rec_id, share, share <= 0.03 as passed from s where share > 0""",
     "f36_char_entropy_gate": "with c as (select doc_id, c, count(*) as n from (select doc_id, unnest(string_split(text, '')) as c from documents) u where c <> '' group by all), s as (select *, sum(n) over (partition by doc_id) as t from c), e as (select doc_id, round(-sum(n / t * log2(n / t)), 4) as entropy from s group by doc_id) select doc_id, entropy, entropy >= 4.5 as passed from e",
     "filter4_short_sections": f"with {_CTOK} select rec_id, len(toks) as n from docs where len(toks) < 5",
-    "filter5_generic_terms": f"with {_CTOK}, n as (select count(*) as n from docs), t as (select distinct rec_id, unnest(toks) as term from docs where len(toks) >= 5) select term, count(*) as df from t, n group by term, n having count(*) * 20 <= n",
+    "filter5_generic_terms": f"with {_CTOK}, t as (select distinct rec_id, unnest(toks) as term from docs where len(toks) >= 5) select term, count(*) as df from t group by term having count(*) <= 5000",
     "filter6_stop_words": f"with t as (select distinct unnest({_toks('query')}) as term from golden_queries) select term from t where length(term) >= 2 and term not in ({', '.join(repr(s) for s in STOP)})",
     "f21_query_units": "with q as (select distinct query_id, query from golden_queries where query is not null), f as (select query_id, regexp_extract_all(lower(query), '[a-z0-9]{2,}|[一-鿿]{2,}') as us from q), d as (select query_id, list_filter(us, lambda u, i: list_position(us, u) = i)[1:12] as us from f) select query_id, i - 1 as i, us[i] as unit, case when length(us[i]) >= 4 then 2 else 1 end as weight from (select query_id, us, unnest(range(1, len(us) + 1)) as i from d) x",
     "a28_jaccard_separation": f"with {_DOC}, s as (select doc_id, list_distinct(toks) as s from docs), b as (select a.doc_id, len(list_intersect(a.s, b.s)) as c, len(a.s) as x, len(b.s) as y from s a join s b on b.doc_id = a.doc_id + 1) select doc_id, round(c / greatest(x + y - c, 1), 6) as jaccard from b where round(c / greatest(x + y - c, 1), 6) < 0.5",

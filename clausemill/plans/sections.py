@@ -145,12 +145,6 @@ def s15_segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "pages", F.coalesce(F.sum("pages").over(before), F.lit(0)).alias("offset"))
 
 
-def s17_import_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces into which large imported texts are cut, of 1,000 characters here."""
-    files = _files(spark, sf_dir).select("file", F.length("text").alias("size")).filter("size > 0")
-    return files.select("file", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(1000))).alias("start")).select("file", "start", F.least(F.lit(1000), F.col("size") - F.col("start")).alias("length"))
-
-
 def s20_embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause texts that are embedded: of 20 characters or more, cut at 2,000."""
     rows = read(spark, sf_dir, "read_clause_full").select("rec_id", "clause_text").distinct().filter(F.length("clause_text") >= 20)
@@ -163,19 +157,6 @@ def f24_base_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "kb_md").select("file").distinct().select("file", base.alias("base"))
 
 
-def f26_file_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems of file names."""
-    name = F.col("file")
-    problems = F.array_compact(F.array(F.when(~name.rlike(r"\d{4}"), "no year"), F.when(name.rlike(r"\s{2,}"), "double space"), F.when(name.contains("_T"), "underscore form"), F.when(~name.endswith(".md"), "suffix"), F.when(F.length(name) > 50, "long")))
-    return read(spark, sf_dir, "kb_md").select("file").distinct().select("file", F.array_join(problems, "|").alias("problems"))
-
-
-def f27_file_fixer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names put right."""
-    fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("file", r"^_seg\d+_", ""), r"_p\d+-\d+_\d+(\.md)$", "$1"), r"\s+", " "), r"([A-Z]+\d*)_T ", "$1T ")
-    return read(spark, sf_dir, "kb_md").select("file").distinct().select("file", F.trim(fixed).alias("fixed"))
-
-
 def f28_extract_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of documents that begin with a clause number, by the first pattern that fits; equal numbers appended."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("i", "p"))
@@ -189,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s1_list_corpus, w1_line_offsets, w4_sections, w1_section_length, f8_front_headings, f9_toc_entries, f10_front_trim, w2_section_types, w5_clause_parents, w6_clause_lookup, j7_section_at, j8_asof_heading,
-        w17_carry_forward, w18_section_depth, s12_incremental_index, s14_preferred_union, s13_renamed_files, s15_segment_offsets, s17_import_pieces, s20_embedding_inputs, f24_base_names, f26_file_lint, f27_file_fixer, f28_extract_clauses,
+        w17_carry_forward, w18_section_depth, s12_incremental_index, s14_preferred_union, s13_renamed_files, s15_segment_offsets, s20_embedding_inputs, f24_base_names, f28_extract_clauses,
     )
 }
 
@@ -238,11 +219,8 @@ ranked as (select *, row_number() over (partition by code, number order by prio,
     "s14_preferred_union": "with h as (select standard_code, min(title) as name from kb_md where standard_code is not null and title is not null group by 1) select standard_code, name, 'file' as origin from h union all select standard_code, standard_name, 'list' from standard_status where standard_code not in (select standard_code from h)",
     "s13_renamed_files": "with r as (select distinct file, title from kb_md where title is not null), n as (select *, row_number() over (partition by title order by file) as n from r) select file, case when n = 1 then title else title || '_' || n end as name from n",
     "s15_segment_offsets": rf"with r as (select distinct file from kb_md), p as (select file, regexp_extract(file, '{_SEG}', 2) as base, cast(regexp_extract(file, '{_SEG}', 1) as int) as seg, cast(regexp_extract(file, '{_SEG}', 4) as int) - cast(regexp_extract(file, '{_SEG}', 3) as int) + 1 as pages from r where regexp_matches(file, '{_SEG}')) select file, pages, coalesce(cast(sum(pages) over (partition by base order by seg, file rows between unbounded preceding and 1 preceding) as bigint), 0) as offset from p",
-    "s17_import_pieces": f"with {_FILES}, p as (select file, size, unnest(range(0, size, 1000)) as start from files where size > 0) select file, start, least(1000, size - start) as length from p",
     "s20_embedding_inputs": "with r as (select distinct rec_id, clause_text from read_clause_full) select rec_id, md5(substr(clause_text, 1, 2000)) as fingerprint from r where length(clause_text) >= 20",
     "f24_base_names": r"select distinct file, regexp_replace(regexp_replace(file, '^_seg\d+_', ''), '_p\d+-\d+_\d+\.md$', '') as base from kb_md",
-    "f26_file_lint": r"select distinct file, array_to_string(list_filter([case when not regexp_matches(file, '\d{4}') then 'no year' end, case when regexp_matches(file, '\s{2,}') then 'double space' end, case when contains(file, '_T') then 'underscore form' end, case when not file like '%.md' then 'suffix' end, case when length(file) > 50 then 'long' end], lambda x: x is not null), '|') as problems from kb_md",
-    "f27_file_fixer": r"select distinct file, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(file, '^_seg\d+_', ''), '_p\d+-\d+_\d+(\.md)$', '\1'), '\s+', ' ', 'g'), '([A-Z]+\d*)_T ', '\1T ', 'g')) as fixed from kb_md",
     "f28_extract_clauses": r"""with p as (select doc_id, unnest(range(0, len(string_split(text, chr(10) || chr(10))))) as i, unnest(string_split(text, chr(10) || chr(10))) as p from documents),
 n as (select *, coalesce(nullif(regexp_extract(p, '^(§\s*\d+)', 1), ''), nullif(regexp_extract(p, '^(第[一二三四五六七八九十百\d]+条)', 1), ''), nullif(regexp_extract(p, '^(\d+(?:\.\d+)*)[.、\s]', 1), ''), nullif(regexp_extract(p, '^([一二三四五六七八九十]+)、', 1), '')) as number from p),
 t as (select doc_id, number, substr(string_agg(p, chr(10) order by i, p), 1, 4000) as t from n where number is not null and length(p) >= 20 group by all) select doc_id, number, length(t) as chars, md5(t) as fingerprint from t""",
