@@ -16,7 +16,7 @@ LEAST_SCORE, PPR_DIVISOR, LEGACY_GAIN = 5.0, 40.0, 1.5
 #: Results that a query's list shows.
 MOST_RESULTS = 100
 SUPERSEDED, ABOLISHED = 0.65, 0.4
-AUTHORITY_STEP, AUTHORITY_MOST, REFERENCED_GAIN, TAG_GAIN, TAG_GAIN_KEYWORD = 0.01, 0.2, 1.15, 1.15, 1.5
+AUTHORITY_STEP, AUTHORITY_MOST, REFERENCED_GAIN, TAG_GAIN = 0.01, 0.2, 1.15, 1.15
 RARE = r"防碱|泛碱|背涂|碾压|挤密|焊接|探伤"
 SPECIAL = r"系数|度|偏差|检验|混凝土|砌体"
 FILLERS = ("施工", "工程", "进行", "采用", "符合", "不得", "应当", "必须", "严禁", "一般", "以上", "以下")
@@ -138,14 +138,20 @@ def aligned(graph: DataFrame, keyword: DataFrame) -> DataFrame:
     return union_best(a, b, ["qid", "file"])
 
 
-def authority_boost(results: DataFrame, references: DataFrame) -> DataFrame:
-    """Results of standards that others refer to gain a hundredth a referrer, a fifth at most.
+def authority_boost(results: DataFrame, references: DataFrame, asked_code: str | None = None) -> DataFrame:
+    """Results of standards that others refer to gain a hundredth a referrer, a fifth at most: adds refs.
 
-    results: qid, code, score; references: (source_code, target_code).
+    results: qid, code, score; references: (source_code, target_code). With the name of a column of the code asked for,
+    results of standards that refer to it gain REFERENCED_GAIN besides and referenced is added.
     """
     counts = references.filter("source_code <> target_code").groupBy(F.col("target_code").alias("code")).agg(F.countDistinct("source_code").alias("refs"))
     gain = 1 + F.least(F.lit(AUTHORITY_MOST), F.coalesce("refs", F.lit(0)) * AUTHORITY_STEP)
-    return results.join(counts, "code", "left").withColumn("score", F.col("score") * gain).fillna(0, ["refs"])
+    out = results.join(counts, "code", "left").withColumn("score", F.col("score") * gain).fillna(0, ["refs"])
+    if asked_code is None:
+        return out
+    pairs = references.select(F.col("source_code").alias("code"), F.col("target_code").alias(asked_code), F.lit(True).alias("referenced")).distinct()
+    out = out.join(pairs, ["code", asked_code], "left").withColumn("referenced", F.coalesce("referenced", F.lit(False)))
+    return out.withColumn("score", F.col("score") * F.when(F.col("referenced"), REFERENCED_GAIN).otherwise(1.0))
 
 
 def version_penalty(results: DataFrame, status: DataFrame) -> DataFrame:

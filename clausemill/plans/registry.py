@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("codes", "lexical", "sections", "graph", "vectors", "search", "support", "metrics", "audit", "extra", "answers", "checks")
+MODULES: tuple[str, ...] = ("codes", "lexical", "sections", "graph", "vectors", "search", "support", "metrics", "audit", "extra", "answers", "checks", "records")
 
 
 def queries() -> dict:

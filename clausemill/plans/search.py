@@ -205,16 +205,6 @@ def filter3_name_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter((F.size("hit") * 2 >= F.size("ws")) & special).select("qid", "title")
 
 
-def filter7_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes expected by golden queries, whether held as they are, in the other family, or not."""
-    wanted = read(spark, sf_dir, "golden_queries").select(F.regexp_extract("expected_standard_code", r"^([A-Z]+\d+T?\d*)$", 1).alias("code")).distinct().filter("code <> ''")
-    held = read(spark, sf_dir, "standard_status").select("standard_code")
-    swapped = F.when(F.col("code").rlike(r"^GBT\d"), F.regexp_replace("code", "^GBT", "GB")).when(F.col("code").rlike(r"^GB\d"), F.regexp_replace("code", "^GB", "GBT"))
-    rows = wanted.withColumn("swapped", swapped).join(held.withColumn("a", F.lit(True)), F.col("code") == F.col("standard_code"), "left").drop("standard_code")
-    rows = rows.join(held.withColumn("b", F.lit(True)), F.col("swapped") == F.col("standard_code"), "left")
-    return rows.select("code", F.when(F.col("a"), "held").when(F.col("b"), "other family").otherwise("missing").alias("state"))
-
-
 def k4_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings suggested for what was typed: beginning with it, then holding it; shortest first, eight at most."""
     typed = "剪力墙"
@@ -227,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         d1_keyword_search, w7_best_per_query, u3_merge_bodies, x1_aligned_candidates, d4_title_lookup, d5_direct_lookup, x9_hybrid_router, x8_version_penalty, x17_cross_references, a11_authority, x18_ref_neighbours,
-        x3_authority_boost, f20_confidence_bands, f23_covered_confidence, f22_run_match, f31_rarity, f32_heading_factor, filter1_must_must_not, filter3_name_noise, filter7_existence, k4_suggestions,
+        x3_authority_boost, f20_confidence_bands, f23_covered_confidence, f22_run_match, f31_rarity, f32_heading_factor, filter1_must_must_not, filter3_name_noise, k4_suggestions,
     )
 }
 
@@ -310,7 +300,6 @@ ORACLES = {
     "f32_heading_factor": f"select {_factor('heading')} as factor, count(*) as n from (select distinct section_id, heading from kb_search_index where heading is not null) u group by 1",
     "filter1_must_must_not": "select doc_id from documents where contains(lower(text), '剪力墙') and contains(lower(text), 'mm') and not contains(lower(text), 'krämo') and not contains(lower(text), '沥青')",
     "filter3_name_noise": f"with qs as (select qid, string_split(text, ' ') as ws from (values {_Q}) v(qid, text)), t as (select distinct title from kb_md where title is not null), p as (select qid, title, ws, list_filter(ws, lambda w: contains(title, w)) as hit from t, qs) select qid, title from p where len(hit) * 2 >= len(ws) and len(list_filter(hit, lambda w: w not in ('标准', '规范', '规程'))) > 0",
-    "filter7_existence": r"with w as (select distinct regexp_extract(expected_standard_code, '^([A-Z]+\d+T?\d*)$', 1) as code from golden_queries) select code, case when code in (select standard_code from standard_status) then 'held' when case when regexp_matches(code, '^GBT\d') then regexp_replace(code, '^GBT', 'GB') when regexp_matches(code, '^GB\d') then regexp_replace(code, '^GB', 'GBT') end in (select standard_code from standard_status) then 'other family' else 'missing' end as state from w where code <> ''",
     "k4_suggestions": r"with t as (select distinct regexp_replace(heading, '^[\d.]+\s+', '') as text from kb_search_index where heading is not null) select text, case when starts_with(text, '剪力墙') then 0 else 2 end as tier from t where contains(text, '剪力墙') order by tier, length(text), text limit 8",
 }
 
