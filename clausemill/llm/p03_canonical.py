@@ -216,7 +216,10 @@ def map_to_list(values: DataFrame, entries: DataFrame) -> DataFrame:
     values = values.select("value").filter("trim(value) <> ''").distinct()
     typed = values.mapInPandas(over(index_values), "value string, number string, name string, keys array<string>")
     index = listed.select("entry", "entry_number", "entry_name", F.explode("keys").alias("key"))
-    pairs = typed.select("value", "number", "name", F.explode("keys").alias("key")).join(index, "key").drop("key")
+    pairs = typed.select("value", "number", "name", F.explode("keys").alias("key")).join(index, "key")
+    # names that only share a third with an entry's are passed over before they are brought together
+    near = F.levenshtein("name", "entry_name", NAME_SLIPS) >= 0
+    pairs = pairs.filter(F.col("key").startswith("#").eqNullSafe(False) | F.col("name").contains(F.col("entry_name")) | near).drop("key")
     scored = pairs.dropDuplicates(["value", "entry"]).mapInPandas(score, "value string, entry string, how string, cosine double")
     rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("cosine"), "entry"))
     best = scored.withColumn("rank", rank).filter("rank <= 2").groupBy("value")  # no more than two a value are sorted on
