@@ -16,6 +16,8 @@ MOST, OVERLAP = 2000, 200
 PENALTIES = {"paragraph": 0.0, "line": 0.1, "sentence": 0.25, "clause": 0.6, "pause": 1.0, "none": 4.0}
 #: Weight of the squared deviation of a piece's new text from an even share.
 BALANCE = 1.0
+#: Cuts that are costed together.
+ROWS = 256
 #: Where no boundary stands within so many characters, plain positions at this distance may be cut.
 GAP = 100
 
@@ -58,20 +60,27 @@ def split_text(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[tupl
     at, cost = boundaries(text)
     # the piece that follows a cut begins at the least penal boundary, the earliest of those, within the overlap
     lows = np.searchsorted(at, at - overlap, "left")
-    begin = np.array([at[k] if not k else at[low + int(np.argmin(cost[low:k]))] if low < k else at[k] for k, low in enumerate(lows)])
+    chosen = np.arange(len(at))
+    for penalty in np.unique(cost)[::-1]:  # the least penalty is set last
+        places = np.append(np.flatnonzero(cost == penalty), len(at))
+        found = places[np.searchsorted(places, lows)]
+        chosen = np.where(found < np.arange(len(at)), found, chosen)
+    begin = at[chosen]
     even = n / np.ceil(n / (most - overlap))
     best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     best[0] = 0.0
-    first = 0
-    for k in range(1, len(at)):
-        while at[k] - begin[first] > most:
-            first += 1
-        j = np.arange(first, k)
-        fits = at[k] - begin[j] <= most
-        total = best[j] + BALANCE * ((at[k] - at[j] - even) / most) ** 2
-        total[~fits] = np.inf
-        pick = int(np.argmin(total))
-        best[k], back[k] = total[pick] + cost[k], j[pick]
+    firsts = np.searchsorted(at, at - most, "left")  # no piece that ends at k begins behind an earlier cut
+    for start in range(1, len(at), ROWS):
+        rows = np.arange(start, min(start + ROWS, len(at)))
+        low = int(firsts[start])
+        j = np.arange(low, rows[-1])
+        # what each pair of cuts costs by its size, for a block of rows at once; only the running best depends on the order
+        sizes = BALANCE * ((at[rows, None] - at[None, j] - even) / most) ** 2
+        sizes[(at[rows, None] - begin[None, j] > most) | (j[None, :] >= rows[:, None])] = np.inf
+        for k, first, row in zip(rows.tolist(), firsts[rows].tolist(), sizes):
+            total = best[first:k] + row[first - low : k - low]
+            pick = total.argmin()
+            best[k], back[k] = total[pick] + cost[k], first + pick
     pieces, k = [], len(at) - 1
     while k:
         j = int(back[k])
