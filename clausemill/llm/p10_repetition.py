@@ -237,4 +237,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_repetition": p10_repetition, "p10_found": p10_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p10_found": r"""with t as (select doc_id, regexp_replace(text, '[^\p{L}]+', '', 'g') as s from documents where text is not null), w as (select doc_id, k, substr(s, k, 10) as x from (select doc_id, s, unnest(range(1, length(s) - 8)) as k from t where length(s) >= 10) u),
+a as (select doc_id, k from (select doc_id, k, row_number() over (partition by doc_id, x order by k) as r from w) u where r > 1), c as (select doc_id, count(distinct k + i) as n from a, (select unnest(range(0, 10)) as i) o group by doc_id)
+select distinct c.doc_id from c join t using (doc_id) where c.n * 5 >= 2 * length(s)"""
+}
