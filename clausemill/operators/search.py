@@ -48,7 +48,7 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(words, F.array(code)), lambda w: w != ""))
 
 
-def finder(asked: list[tuple[int | str, list[str]]], kind: str) -> Callable[[Column], Column]:
+def finder(asked: list[tuple[int | str, list[str]]], kind: str = "bigint") -> Callable[[Column], Column]:
     """Finds the keywords that a text contains, and the queries they belong to, by an index of the keywords' first two signs.
 
     A text costs one look at each of its distinct pairs of signs, and one at each keyword that begins with one of them.

@@ -47,10 +47,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float) -> DataFr
                 sims = np.stack([x["embedding"] for x in q]).astype(float) @ np.stack([x["embedding"] for x in r]).astype(float).T
                 sims[qi[:, None] == ri[None, :]] = -np.inf
                 sims = np.round(sims, 4)
-                best = np.lexsort((np.broadcast_to(ri, sims.shape), -sims), axis=1)[:, :k]
-                at = np.arange(len(qi))[:, None]
-                keep = sims[at, best] >= least
-                yield pd.DataFrame({"vec_id": np.broadcast_to(qi[:, None], best.shape)[keep], "neighbour": ri[best][keep], "sim": sims[at, best][keep]})
+                last = np.partition(sims, max(0, len(ri) - k), axis=1)[:, [max(0, len(ri) - k)]]  # the k-th best; ties go along
+                i, j = np.nonzero((sims >= last) & (sims >= least))
+                yield pd.DataFrame({"vec_id": qi[i], "neighbour": ri[j], "sim": sims[i, j]})
 
     pairs = _blocks(queries, "q").select("q").crossJoin(_blocks(rows, "r").select("r"))
     found = pairs.mapInPandas(multiply, "vec_id bigint, neighbour bigint, sim double")
