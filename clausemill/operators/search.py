@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions.codes import code_token, normalize_code
+from clausemill.operators.lexical import contained
 from clausemill.operators.sections import keep_best
 
 # Fixed values of the scoring.
 LEAST_SCORE, PPR_DIVISOR, LEGACY_GAIN = 5.0, 40.0, 1.5
-#: Results that a query's list shows.
-MOST_RESULTS = 100
+#: Results that a query's list shows, and queries that are searched at once.
+MOST_RESULTS, MOST_ASKED = 100, 200_000
 SUPERSEDED, ABOLISHED = 0.65, 0.4
 AUTHORITY_STEP, AUTHORITY_MOST, REFERENCED_GAIN, TAG_GAIN = 0.01, 0.2, 1.15, 1.15
 RARE = r"防碱|泛碱|背涂|碾压|挤密|焊接|探伤"
@@ -77,12 +78,15 @@ def finder(asked: list[tuple[int | str, list[str]]], kind: str = "bigint") -> Ca
 def keyword_search(queries: DataFrame, sections: DataFrame) -> DataFrame:
     """Best section of every file for every query, by keywords: qid, file, sid, heading, hits, score.
 
-    queries: (qid, text), a caller's list, broadcast; sections: (file, code, sid, heading, segment, length). Keywords are
+    queries: (qid, text), MOST_ASKED at most, broadcast; sections: (file, code, sid, heading, segment, length). Keywords are
     found through an index of them, so that only queries with a hit are scored; sections are brought together by file
     without their text before that, and scores aren't shuffled.
     """
     asked = queries.select("qid", keywords(F.col("text")).alias("kws"), F.filter(F.split(F.lower(F.trim("text")), r"[\s　]+"), lambda w: w != "").alias("own"))
-    find = finder([(r.qid, r.kws) for r in asked.select("qid", "kws").collect()], queries.schema["qid"].dataType.simpleString())
+    rows = asked.select("qid", "kws").limit(MOST_ASKED + 1).collect()
+    if len(rows) > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} queries at once")
+    find = finder([(r.qid, r.kws) for r in rows], queries.schema["qid"].dataType.simpleString())
     usable = sections.filter(~F.col("heading").rlike(CONTENTS_HEADING))
     front = F.regexp_extract("segment", f"(?s)^(.*?)(?:{FRONT})", 1)
     segment = F.lower(F.when(F.col("segment").rlike(FRONT), front).otherwise(F.col("segment")))
@@ -205,10 +209,12 @@ def bool_filter(rows: DataFrame, text: str, must: list[str], must_not: list[str]
 
 
 def title_lookup(queries: DataFrame, files: DataFrame) -> DataFrame:
-    """Files whose title is the query (140), or holds it or is held by it (120)."""
-    asked = F.broadcast(queries.select("qid", F.regexp_replace("text", r"\s+", "").alias("q")).filter(F.length("q") >= 4))
-    pairs = files.filter("title is not null").join(asked, F.col("title").contains(F.col("q")) | F.col("q").contains(F.col("title")))
-    return pairs.select("qid", "file", F.when(F.col("title") == F.col("q"), 140.0).otherwise(120.0).alias("score"))
+    """Files whose title is the query (140), or holds it or is held by it (120); both are searched for by automata."""
+    asked = queries.select("qid", F.regexp_replace("text", r"\s+", "").alias("q")).filter(F.length("q") >= 4)
+    titles = files.filter("title <> ''").select("file", "title")
+    held = contained(asked, "q", titles, "title", "file").select("qid", "file", "title", "q")
+    both = held.unionByName(contained(titles, "title", asked, "q", "qid").select("qid", "file", "title", "q"))
+    return both.groupBy("qid", "file").agg(F.max(F.when(F.col("title") == F.col("q"), 140.0).otherwise(120.0)).alias("score"))
 
 
 def direct_lookup(queries: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -218,7 +224,7 @@ def direct_lookup(queries: DataFrame, lookup: DataFrame) -> DataFrame:
     """
     plain = lambda c: F.regexp_replace(c, "^GBT", "GB")
     asked = queries.select("qid", plain(normalize_code(code_token(F.col("text")))).alias("c"), F.regexp_extract("text", r"(\d+(?:\.\d+){1,4})\s*条?$", 1).alias("clause")).filter("c <> '' and clause <> ''")
-    pairs = lookup.withColumn("c", plain(F.col("code"))).join(F.broadcast(asked), "c")
+    pairs = lookup.withColumn("c", plain(F.col("code"))).join(asked, "c")
     found = pairs.withColumn("score", F.when(F.col("number") == F.col("clause"), 100.0).when(F.col("number").startswith(F.concat("clause", F.lit("."))), 90.0)).filter("score is not null")
     best = found.groupBy("qid").agg(F.max("score").alias("best"))  # one row a query
     return found.join(best, "qid").filter("score = best").select("qid", "file", "heading", "score")
