@@ -1,9 +1,10 @@
-"""Frequency of every distinct term: range-partitioned sort of (term, record) pairs and a run-length scan."""
+"""Frequency of every distinct term: range-partitioned sort of terms, records and places, and a run-length scan."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,52 +29,56 @@ def trimmed_codes(codes: Column) -> Column:
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run lengths of pairs that come sorted by field, term and record; a run cut by a batch's end gives two rows."""
+    """Run lengths of places that come sorted by field, term, record and place; equal rows count once.
+
+    A run cut by a batch's end gives two rows.
+    """
     last = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        field, term, record = batch.column(0), batch.column(1), batch.column(2)
         n = batch.num_rows
-        same_term = pc.and_(pc.equal(field.slice(1), field.slice(0, n - 1)), pc.equal(term.slice(1), term.slice(0, n - 1)))
-        same_pair = pc.and_(same_term, pc.equal(record.slice(1), record.slice(0, n - 1)))
-        head = (field[0].as_py(), term[0].as_py(), record[0].as_py())
-        new_pair = pa.concat_arrays([pa.array([head != last]), pc.invert(same_pair)])
-        new_term = pa.concat_arrays([pa.array([True]), pc.invert(same_term)])
-        starts = pc.indices_nonzero(new_term).to_numpy()
-        pairs = new_pair.cast(pa.int64()).to_numpy(zero_copy_only=False).cumsum()
-        ends = [*starts[1:], n]
-        totals = [int(pairs[e - 1] - (pairs[s - 1] if s else 0)) for s, e in zip(starts, ends)]
-        lengths = [int(e - s) for s, e in zip(starts, ends)]
+        if not n:
+            continue
+        field, term, record, place = batch.columns
+        equal = lambda a, b: pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        same = [equal(c.slice(1), c.slice(0, n - 1)) for c in (field, term, record, place)]
+        same_term = pc.and_(same[0], same[1])
+        same_record = pc.and_(same_term, same[2])
+        head = tuple(c[0].as_py() for c in batch.columns)
+        begins = lambda first, rest: pa.concat_arrays([pa.array([first]), pc.invert(rest)]).to_numpy(zero_copy_only=False)
+        new_term = begins(True, same_term)
+        records = begins(last is None or head[:3] != last[:3], same_record).cumsum()
+        places = begins(head != last, pc.and_(same_record, same[3])).cumsum()
+        starts = np.flatnonzero(new_term)
+        ends = np.append(starts[1:], n) - 1
+        upto = lambda c: np.diff(c[ends], prepend=0)
         at = pa.array(starts)
-        yield pa.RecordBatch.from_arrays([field.take(at), term.take(at), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64())], names=["field", "term", "occurrences", "records"])
-        last = (field[n - 1].as_py(), term[n - 1].as_py(), record[n - 1].as_py())
+        yield pa.RecordBatch.from_arrays([field.take(at), term.take(at), pa.array(upto(places)), pa.array(upto(records))], names=["field", "term", "occurrences", "records"])
+        last = tuple(c[n - 1].as_py() for c in batch.columns)
 
 
 def term_frequencies(pairs: DataFrame) -> DataFrame:
-    """(field, term, record) pairs -> occurrences and distinct records of every term.
+    """(field, term, record, place) -> occurrences and distinct records of every term.
 
-    The pairs are range-partitioned on all three columns, so a hot term spreads over many tasks and equal pairs still
-    meet in one. Null terms are dropped, repeated pairs count as occurrences of one record, an empty input gives no row.
+    place tells the occurrences of a term in a record apart; a record delivered again has the same ones, so nothing is
+    brought together to count it once. The rows are range-partitioned on field, term and record, so a hot term spreads
+    over many tasks and the places of a record meet in one. Null terms are dropped, rows without record are one record,
+    an empty input gives no row.
     """
-    pairs = pairs.select("field", "term", "record").filter("term is not null")
-    ordered = pairs.repartitionByRange("field", "term", "record").sortWithinPartitions("field", "term", "record")
+    pairs = pairs.select("field", "term", "record", "place").filter("term is not null")
+    ordered = pairs.repartitionByRange("field", "term", "record").sortWithinPartitions("field", "term", "record", "place")
     runs = ordered.mapInArrow(scan_runs, RUNS)
     return runs.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def log_pairs(logs: DataFrame) -> DataFrame:
-    """Pairs of the search log; a log record delivered twice counts once."""
-    terms = F.concat(
-        F.transform(split_terms(F.col("q")), lambda x: F.struct(F.lit("q").alias("field"), x.alias("term"))),
-        F.transform(trimmed_codes(F.col("c")), lambda x: F.struct(F.lit("c").alias("field"), x.alias("term"))),
-    )
-    return logs.select("log_id", F.inline(terms)).withColumnRenamed("log_id", "record")
+    """Terms of the search log with their records and places."""
+    placed = lambda name, terms: F.transform(terms, lambda x, i: F.struct(F.lit(name).alias("field"), x.alias("term"), i.alias("place")))
+    return logs.select(F.col("log_id").alias("record"), F.inline(F.concat(placed("q", split_terms(F.col("q"))), placed("c", trimmed_codes(F.col("c"))))))
 
 
 def p4_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term and code with its counts and mark; mark is null for the useful ones."""
-    logs = read(spark, sf_dir, "search_log").select("log_id", "q", "c").dropDuplicates(["log_id"])
+    logs = read(spark, sf_dir, "search_log").select("log_id", "q", "c")
     total = read(spark, sf_dir, "search_log").agg(F.countDistinct("log_id").alias("total"))
     mark = F.when(F.col("records") == 1, "rare").when(F.col("records") * 20 >= F.col("total"), "common")
     return term_frequencies(log_pairs(logs)).crossJoin(F.broadcast(total)).select("field", "term", "occurrences", "records", mark.alias("mark"))

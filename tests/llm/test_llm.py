@@ -154,15 +154,83 @@ def test_p3_postings_do_not_grow_with_the_list():
     assert max(met) < 20
 
 
+def test_p3_equals_all_pairs(spark):
+    """Mapping by the index gives what scoring every value against every entry gives."""
+    random.seed(11)
+    subjects, kinds = ["冷藏库围护", "山岭公路隧道", "污水深井泵站", "顶管穿越段"], ["材料试验方法标准", "质量验收统一规程", "变形监测技术规范"]
+    entries = [(f"{random.choice(['GBT', 'GB', 'JGJ', 'DB91T'])}{random.randint(4000, 4400)}", s + k) for s in subjects for k in kinds]
+
+    def slip(text):
+        k = random.randrange(len(text))
+        return random.choice((text, text[:k] + random.choice("0123式工") + text[k + 1 :], text[:k] + text[k + 1 :], text[:k] + text[k : k + 2][::-1] + text[k + 2 :], text + "（试行）", "按" + text + "执行"))
+
+    values = sorted({slip(random.choice((c, n, c + "-2011", c + " " + n))) for c, n in entries * 25})
+    frame = spark.createDataFrame(entries, "standard_code string, standard_name string")
+    got = {r.value: r.standard_code for r in p03_canonical.map_to_list(spark.createDataFrame([(v,) for v in values], "value string"), frame).collect()}
+    weights = np.full(p03_canonical.SLOTS, np.log(1 + len(entries)), np.float32)
+    slots = [p03_canonical.slot(g) for _, n in entries for g in p03_canonical.name_grams(n)]
+    for k in set(slots):
+        weights[k] = np.log(1 + len(entries) / slots.count(k))
+    scorer = p03_canonical.Scorer(weights)
+    families = [p03_canonical.family_of(c) for c, _ in entries]
+    pattern = p03_canonical.code_pattern([f for f, _ in families])
+    for v in values:
+        family, number, name = p03_canonical.parse_value(v, pattern)
+        found = []
+        for (code, listed), (own, digits) in zip(entries, families):
+            usable = number if not family or family == own else None
+            if p03_canonical.holds(usable, name, digits, listed):
+                found.append((scorer.cosine(number, name, digits, listed), code))
+        found.sort(reverse=True)
+        clear = found and found[0][0] >= p03_canonical.LEAST and (len(found) < 2 or found[0][0] - found[1][0] >= p03_canonical.MARGIN)
+        if len({c for _, c in found}) == len(found):
+            assert got[v] == (found[0][1] if clear else "UNMATCHED"), v
+
+
+def test_p7_cuts_are_the_cheapest():
+    """The dynamic programme against the same recurrence over all pairs, without vectors."""
+    random.seed(12)
+    for _ in range(30):
+        text = "".join(random.choices("甲乙丙丁。，；\n ", weights=[9, 9, 9, 9, 2, 3, 1, 1, 1], k=random.randint(120, 400)))
+        most, overlap = 100, 20
+        at, cost = p07_split.boundaries(text)
+        begin = [int(at[k]) if not k else min(((cost[j], j) for j in range(k) if at[j] >= at[k] - overlap), default=(0, k))[1] for k in range(len(at))]
+        begin = [0] + [int(at[j]) for j in begin[1:]]
+        even = len(text) / np.ceil(len(text) / (most - overlap))
+        best = [0.0] + [np.inf] * (len(at) - 1)
+        for k in range(1, len(at)):
+            best[k] = min((best[j] + p07_split.BALANCE * ((at[k] - at[j] - even) / most) ** 2 + cost[k] for j in range(k) if at[k] - begin[j] <= most), default=np.inf)
+        pieces = p07_split.split_text(text, most, overlap)
+        ends = [0] + [e for _, e, _ in pieces]
+        index = {int(p): k for k, p in enumerate(at)}
+        total = sum(p07_split.BALANCE * ((b - a - even) / most) ** 2 + cost[index[b]] for a, b in zip(ends, ends[1:]))
+        assert total == pytest.approx(best[-1])
+
+
 def test_p4_runs(spark):
     random.seed(2)
-    pairs = [("q", random.choice("abcde"), random.randint(1, 30)) for _ in range(3000)] + [("c", "hot", k % 40) for k in range(2000)] + [("q", None, 1)]
-    got = {(r.field, r.term): (r.occurrences, r.records) for r in p04_frequency.term_frequencies(spark.createDataFrame(pairs, "field string, term string, record bigint")).collect()}
+    pairs = [("q", random.choice("abcde"), random.randint(1, 30), random.randint(0, 9)) for _ in range(3000)] + [("c", "hot", k % 40, k) for k in range(2000)] + [("q", None, 1, 0)]
+    got = {(r.field, r.term): (r.occurrences, r.records) for r in p04_frequency.term_frequencies(spark.createDataFrame(pairs, "field string, term string, record bigint, place int").repartition(7)).collect()}
     want = {}
-    for f, t, r in pairs:
+    for f, t, r, p in pairs:
         if t is not None:
-            want.setdefault((f, t), []).append(r)
-    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+            want.setdefault((f, t), set()).add((r, p))
+    assert got == {k: (len(v), len({r for r, _ in v})) for k, v in want.items()}
+    assert p04_frequency.term_frequencies(spark.createDataFrame(pairs[:0], "field string, term string, record bigint, place int")).count() == 0
+
+
+def test_p4_scan_across_batches():
+    import pyarrow as pa
+
+    rows = sorted([("q", "a", 1, 0), ("q", "a", 1, 0), ("q", "a", 1, 1), ("q", "a", 2, 0), ("q", "b", 2, 0), ("q", "b", None, 0), ("c", "a", 1, 0)], key=repr)
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("field", "term", "record", "place"), r)) for r in rows[k : k + size]], schema=pa.schema([("field", pa.string()), ("term", pa.string()), ("record", pa.int64()), ("place", pa.int32())])) for k in range(0, len(rows), size)]
+        total = {}
+        for out in p04_frequency.scan_runs(iter(batches)):
+            for r in out.to_pylist():
+                a, b = total.get((r["field"], r["term"]), (0, 0))
+                total[r["field"], r["term"]] = a + r["occurrences"], b + r["records"]
+        assert total == {("q", "a"): (3, 2), ("q", "b"): (2, 2), ("c", "a"): (1, 1)}, size
 
 
 def test_p4_terms(spark):
@@ -228,6 +296,26 @@ def test_p8_short_items_and_digits(spark):
     assert {x for x in got if x[2] == "verbatim"} == {(1, "short", "verbatim"), (2, "digits", "verbatim"), (2, "mixed", "verbatim"), (3, "mixed", "verbatim")}
 
 
+def test_p8_verbatim_equals_brute_force(spark):
+    random.seed(13)
+    item = lambda: "".join(random.choices(["基坑", "监测", "12mm", "GB/T 5", "第3阶", "渗水量", "Ålund", "77", "报监理"], k=random.randint(1, 40)))
+    items = {f"i{k}": item() for k in range(12)}
+    docs = {}
+    for k in range(60):
+        own = random.choice(list(items.values()))
+        a = random.randint(0, len(own))
+        docs[k] = item() + own[a : a + random.randint(10, 70)].replace("测", "测 ") + item()
+    flat = lambda t: (lambda c: text_of(c[0]))(plain_of([t]))
+    want = set()
+    for d, text in docs.items():
+        for i, own in items.items():
+            body, whole = flat(own), flat(text)
+            if any(body[k : k + 40] in whole for k in range(max(1, len(body) - 39))):
+                want.add((d, i))
+    got = p08_leakage.leaked_items(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "id string, text string"))
+    assert {(r.doc_id, r.id) for r in got.collect() if r.how == "verbatim"} == want and want
+
+
 def test_p8_every_part_of_an_item_is_a_candidate():
     """Each 40 plain characters of items with many numbers and names are found, whatever stands around them."""
     random.seed(8)
