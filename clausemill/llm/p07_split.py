@@ -17,7 +17,7 @@ PENALTIES = {"paragraph": 0.0, "line": 0.1, "sentence": 0.25, "clause": 0.6, "pa
 #: Weight of the squared deviation of a piece's new text from an even share.
 BALANCE = 1.0
 #: Cuts that are costed together.
-ROWS = 256
+ROWS = 64
 #: Where no boundary stands within so many characters, plain positions at this distance may be cut.
 GAP = 100
 
