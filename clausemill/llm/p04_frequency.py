@@ -12,19 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clausemill.session import read
 
 #: White space of Unicode, the ideographic space included, and the separators that count as such.
-WHITE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 RUNS = "field string, term string, occurrences bigint, records bigint"
 
 
 def split_terms(text: Column) -> Column:
     """Lower-case pieces of a text between white space; an empty array for null or blank texts."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda x: x != "")
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), WHITE, " " * len(WHITE))
+    return F.filter(F.split(plain, " "), lambda x: x != "")
 
 
 def trimmed_codes(codes: Column) -> Column:
     """The non-blank entries of an array, trimmed and in upper case; an empty array for null."""
-    cleaned = F.transform(codes, lambda x: F.upper(F.regexp_replace(x, rf"^{WHITE}|{WHITE}$", "")))
+    cleaned = F.transform(codes, lambda x: F.upper(F.btrim(x, F.lit(WHITE))))
     return F.coalesce(F.filter(cleaned, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
