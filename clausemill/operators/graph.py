@@ -121,7 +121,7 @@ def discovered(p: DataFrame, files: DataFrame) -> DataFrame:
     return seen.select(F.col("node").alias("file"), F.round(F.col("p") * SHOWN, 1).alias("score"))
 
 
-#: Numbers of a block of questions' masses on terms, as many as go to every task at once (16 MB).
+#: Masses of questions on terms that go to every task at once (32 MB).
 BLOCK_CELLS = 2_000_000
 
 
@@ -148,36 +148,66 @@ def discover_asked(seeds: DataFrame, transitions: DataFrame, rounds: int = ROUND
         p = moved.unionByName(start.select("qid", "node", (F.col("e") * restart).alias("p"))).groupBy("qid", "node").agg(F.sum("p").alias("p"))
     p = materialise(p.join(into.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
     per_file = materialise(into.groupBy(F.col("dst").alias("file")).agg(F.collect_list(F.struct("src", "m")).alias("ins")))
-    terms = [r.node for r in p.select("node").distinct().collect()]
-    qids = sorted(r.qid for r in p.select("qid").distinct().collect())
+    sizes = p.groupBy("qid").agg(F.count("*").alias("n")).orderBy("qid").collect()  # a row a question asked
     kind = seeds.schema["qid"].dataType.simpleString()
     own = start.select("qid", F.col("node").alias("file"), (F.col("e") * restart).alias("p")).join(per_file.select("file"), "file", "left_semi").select("qid", "file", "p")
-    step = max(1, BLOCK_CELLS // max(1, len(terms)))
-    parts = [own] + [_into_files(p, per_file, terms, qids[k : k + step], 1 - restart, kind) for k in range(0, len(qids), step)]
+    blocks, cells = [], BLOCK_CELLS
+    for r in sizes:
+        if cells + r.n > BLOCK_CELLS:
+            blocks.append([])
+            cells = 0
+        blocks[-1].append(r.qid)
+        cells += r.n
+    parts = [own] + [_into_files(p, per_file, qids, 1 - restart, kind) for qids in blocks]
     return reduce(DataFrame.unionByName, parts).groupBy("qid", "file").agg(F.sum("p").alias("p")).filter(F.col("p") > VISIBLE)
 
 
-def _into_files(p: DataFrame, per_file: DataFrame, terms: list[str], qids: list, share: float, kind: str) -> DataFrame:
-    row, column = {q: k for k, q in enumerate(qids)}, {t: k for k, t in enumerate(terms)}
-    mass = np.zeros((len(qids), len(terms)))
+def _into_files(p: DataFrame, per_file: DataFrame, qids: list, share: float, kind: str) -> DataFrame:
     block = p.filter((F.col("qid") >= qids[0]) & (F.col("qid") <= qids[-1])).toPandas()
-    mass[block["qid"].map(row), block["node"].map(column)] = block["p"]
-    shared = p.sparkSession.sparkContext.broadcast((np.array(qids), column, mass))
+    block["row"] = block["qid"].map({q: k for k, q in enumerate(qids)})
+    held = {node: (part["row"].to_numpy(), part["p"].to_numpy() * share) for node, part in block.groupby("node")}
+    shared = p.sparkSession.sparkContext.broadcast((np.array(qids), held))
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked, place, held = shared.value
+        asked, masses = shared.value
         for batch in batches:
             for file, ins in zip(batch["file"], batch["ins"]):
-                known = [(place[x["src"]], x["m"]) for x in ins if x["src"] in place]
-                if known:
-                    at, m = zip(*known)
-                    got = held[:, at] @ np.array(m) * share
-                    some = got > 0
+                got = np.zeros(len(asked))
+                for x in ins:
+                    if x["src"] in masses:
+                        rows, mass = masses[x["src"]]
+                        got[rows] += mass * x["m"]
+                some = np.flatnonzero(got)
+                if len(some):
                     yield pd.DataFrame({"qid": asked[some], "file": file, "p": got[some]})
 
     return per_file.mapInPandas(multiply, f"qid {kind}, file string, p double")
 
 
+def grid(edges: DataFrame, followers: dict[int, DataFrame], is_file: Column, ratios: list[float], boosts: list[float]) -> DataFrame:
+    """The graph under every setting of file ratio, heading boost and followers: setting, src, dst, to_file, w_int.
+
+    edges: (src, dst, w, etype) without those of followers, which are given by their number; setting is a struct of the
+    three. Families are merged once a boost and number, ratios only divide them differently.
+    """
+    spark = edges.sparkSession
+    steps = spark.createDataFrame([(float(b), k) for b in boosts for k in followers], "boost double, most int")
+    scaled = F.when(F.col("etype") == "heading", F.col("w") / HEADING * F.col("boost")).otherwise(F.col("w"))
+    every = edges.crossJoin(F.broadcast(steps)).select("boost", "most", "src", "dst", scaled.alias("w"))
+    for most, top in followers.items():
+        own = bigram_edges(top).crossJoin(F.broadcast(steps.filter(F.col("most") == most)))
+        every = every.unionByName(own.select("boost", "most", "src", "dst", "w"))
+    keys = ["boost", "most"]
+    merged = every.groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w")).withColumn("to_file", is_file)
+    parts = merged.groupBy(*keys, "src", "to_file").agg(F.sum("w").alias("total")).filter("total > 0")
+    parts = parts.crossJoin(F.broadcast(spark.createDataFrame([(float(r),) for r in ratios], "ratio double")))
+    parts = parts.withColumn("share", F.when(F.col("to_file"), F.col("ratio") / (F.col("ratio") + 1)).otherwise(1 / (F.col("ratio") + 1)))
+    parts = parts.join(parts.groupBy(*keys, "ratio", "src").agg(F.sum("share").alias("shares")), [*keys, "ratio", "src"])
+    whole = F.col("w") / F.col("total") * F.col("share") / F.col("shares")
+    out = merged.join(parts, [*keys, "src", "to_file"])
+    return out.select(F.struct("ratio", *keys).alias("setting"), "src", "dst", "to_file", F.greatest(F.lit(1), F.floor(F.round(whole * UNITS, 6))).cast("int").alias("w_int"))
+
+
 def health(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Isolated share of the nodes, ratio of the edge kinds, and out-degrees."""
     degree = nodes.join(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"), F.count_if("to_file").alias("f")), "node", "left").fillna(0)

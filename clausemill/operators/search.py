@@ -170,6 +170,15 @@ def version_penalty(results: DataFrame, status: DataFrame) -> DataFrame:
     return known.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MOST_RESULTS)
 
 
+def layered(results: DataFrame) -> DataFrame:
+    """The last order of results: penalised ones last; then those with a similarity, by it; then the rest by score.
+
+    results: qid, file, score, penalised, sim (null without one). Adds position, of the first MOST_RESULTS of each query.
+    """
+    order = Window.partitionBy("qid").orderBy("penalised", F.col("sim").isNull(), F.desc("sim"), F.desc(F.round("score", 6)), "file")
+    return results.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MOST_RESULTS)
+
+
 def confidence(score: Column) -> Column:
     """High from 60, mid from 20."""
     return F.when(score >= 60, "high").when(score >= 20, "mid").otherwise("low")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clausemill.functions.codes import code_token, normalize_code
+from clausemill.functions.codes import normalize_code
 from clausemill.operators import answers as ops, graph, lexical, reading, search, seeds
 from clausemill.plans import graph as graph_plans, search as search_plans
 from clausemill.plans.lexical import GOLDEN as GOLDEN_SQL, golden_questions
@@ -72,6 +73,33 @@ def d13_discovered_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discovered(spark, sf_dir, golden_questions(spark, sf_dir)).select("qid", "file", F.round(F.col("p") * graph.SHOWN, 1).alias("score"))
 
 
+#: Settings of the graph that are tried: file ratio, heading boost, followers.
+GRID = ((1.0, 2.0, 3.0, 5.0, 8.0), (20.0, 50.0, 100.0, 200.0), (3, 5, 10, 20))
+
+
+def x39_graph_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph rebuilt and walked under eighty settings: edges, and golden queries whose standard is among the ten best files.
+
+    Settings are part of the nodes' and questions' names, so all are walked at once.
+    """
+    asked = golden_questions(spark, sf_dir)
+    ratios, boosts, most = GRID
+    edges = graph_plans._edges(spark, sf_dir).filter("etype <> 'bigram'")
+    built = materialise(graph.grid(edges, {k: graph_plans.followers(spark, sf_dir, k) for k in most}, F.col("dst").endswith(".md"), ratios, boosts))
+    name = F.concat_ws("/", "setting.ratio", "setting.boost", "setting.most")
+    named = built.select(name.alias("setting"), F.concat(name, F.lit("|"), "src").alias("src"), F.concat(name, F.lit("|"), "dst").alias("dst"), "to_file", "w_int")
+    settings = named.select("setting").distinct()
+    start = _start(spark, sf_dir, asked).crossJoin(F.broadcast(settings)).select(F.concat("setting", F.lit("|"), "qid").alias("qid"), F.concat("setting", F.lit("|"), "node").alias("node"), "e")
+    found = graph.discover_asked(graph.inject_asked(start, named), graph.matrix(named))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("p", 10)), "file")
+    best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= ops.RESULTS)
+    best = search_plans._coded(best.select(F.substring_index("qid", "|", 1).alias("setting"), F.substring_index("qid", "|", -1).cast("bigint").alias("query_id"), F.regexp_replace("file", r"^[^|]*\|", "").alias("file")))
+    wanted = read(spark, sf_dir, "golden_queries").filter("expected_standard_code <> '' and query_id % 20 = 0").groupBy("query_id").agg(F.min(normalize_code(F.col("expected_standard_code"))).alias("code"))
+    hits = best.join(wanted, ["query_id", "code"], "left_semi").select("setting", "query_id").distinct().groupBy("setting").agg(F.count("*").alias("hits"))
+    sizes = named.groupBy("setting").agg(F.count("*").alias("edges"), F.round(F.count_if("to_file") / F.count_if(~F.col("to_file")), 4).alias("file_ratio"))
+    return sizes.join(hits, "setting", "left").select("setting", "edges", "file_ratio", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_plans._sections(spark, sf_dir).join(search_plans._index_positions(spark, sf_dir), ["file", "sid"])
 
@@ -210,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         d2_expansion_groups, d8_lattice_seeds, d9_bridged_terms, d10_teleport, d13_discovered_golden, x2_hydrated_titles, x2_hydrated_sections, j10_direct_tiers, x9_routed_golden, x11_public_search, x11_zero_results, x12_resolved_clauses,
-        x13_read_clauses, x14_clause_records, x15_followed_clauses,
+        x13_read_clauses, x14_clause_records, x15_followed_clauses, x39_graph_grid,
     )
 }
 

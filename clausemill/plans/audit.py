@@ -211,13 +211,6 @@ def u6_distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("log_id", F.array_join(F.array_distinct(F.filter("c", lambda x: x.isNotNull())), "|").alias("codes"))
 
 
-def k3_layered_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of each plan: failed ones last, those in a clause first, then by number."""
-    rows = read(spark, sf_dir, "plan_writer_citation_summary_sample").dropDuplicates(["item_id"])
-    order = Window.partitionBy("plan_id").orderBy(F.coalesce(F.col("audit_status") == "fail", F.lit(False)), F.desc(F.coalesce("in_clause", F.lit(False))), "item_id")
-    return rows.select("item_id", F.row_number().over(order).alias("position"))
-
-
 def f35_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short and long hashes of file texts."""
     return read_wide(spark, sf_dir, "kb_md").select("file", F.substring(F.md5("text"), 1, 8).alias("short"), F.sha2("text", 256).alias("long")).distinct()
@@ -265,7 +258,7 @@ QUERIES = {
     for f in (
         a26_value_conflicts, a26_document_conflicts, x29_broken_refs, x24_citation_mining, x23_citation_resolution, x14_read_clause, x15_crossref_hop, x16_image_search, x27_chapter_recommendation, x30_standards_list, x31_chapter_depth, x33_auto_annotation,
         x34_term_candidates, x35_golden_templates, x36_integrity, x37_provenance, w13_latest_versions, a25_repeated_neighbours, a30_type_scores, j4_used_standards, j5_unused_standards, j9_bridge_join, j10_fallback_chain, j13_scalar_join,
-        u4_set_operations, u5_heading_merge, u6_distinct_in_order, k3_layered_sort, f35_fingerprints, f37_document_keywords, f38_citable, f39_order_parse, s7_split_plan, x4_preferred_tags,
+        u4_set_operations, u5_heading_merge, u6_distinct_in_order, f35_fingerprints, f37_document_keywords, f38_citable, f39_order_parse, s7_split_plan, x4_preferred_tags,
     )
 }
 
@@ -311,7 +304,6 @@ ORACLES = {
     "u4_set_operations": "with l as (select standard_code from standard_status), h as (select distinct standard_code from kb_md where standard_code is not null) select standard_code, 'both' as side from l where standard_code in (select * from h) union all select standard_code, 'list' from l where standard_code not in (select * from h) union all select standard_code, 'files' from h where standard_code not in (select * from l)",
     "u5_heading_merge": r"with a as (select distinct substr(regexp_replace(heading, '\s+', '', 'g'), 1, 40) as h from kb_search_index), b as (select distinct substr(regexp_replace(source_heading, '\s+', '', 'g'), 1, 40) as h from read_clause_full) select 'index' as origin, count(*) as n from a where h <> '' union all select 'records', count(*) from b where h <> '' and h not in (select h from a where h is not null)",
     "u6_distinct_in_order": "with l as (select log_id, any_value(c) as c from search_log group by 1) select log_id, array_to_string(list_filter(c, lambda x, i: x is not null and list_position(c, x) = i), '|') as codes from l where c is not null",
-    "k3_layered_sort": "with r as (select distinct on (item_id) * from plan_writer_citation_summary_sample) select item_id, row_number() over (partition by plan_id order by coalesce(audit_status = 'fail', false), coalesce(in_clause, false) desc, item_id) as position from r",
     "f35_fingerprints": 'select distinct file, substr(md5(text), 1, 8) as short, sha256(text) as "long" from kb_md',
     "f37_document_keywords": "select doc_id, array_to_string(list_filter(regexp_extract_all(title, '[一-鿿]{2,}'), lambda r: not regexp_matches(r, '的|关于|汇总'))[1:6], ' ') as keywords from documents where title is not null",
     "f38_citable": r"with p as (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as p from documents) select doc_id, count(*) as n from p where length(p) >= 20 and regexp_matches(p, '\d+(\.\d+)?\s*(mm|m|kN|d|h|%|℃)') and not regexp_matches(p, '(GB|JGJ|CJJ|CECS|DB\d{2})(/T)? ?\d{4}') group by doc_id",

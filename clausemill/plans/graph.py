@@ -64,7 +64,7 @@ def d6a_cooc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cooccurrence_edges(lexical.cooccurrence(_heading_hits(spark, sf_dir), "section_id", "term"))
 
 
-def followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def followers(spark: SparkSession, sf_dir: str, most: int = lexical.BIGRAMS) -> DataFrame:
     """Terms that follow each other in queries: w1, w2, prob of the most frequent followers."""
     logs = read(spark, sf_dir, "search_log").select("log_id", "q").distinct().filter("q is not null")
     words = F.filter(F.split(F.lower("q"), r"[\s　]+"), lambda w: w != "")
@@ -72,7 +72,7 @@ def followers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = logs.select(words.alias("ws")).filter(F.size("ws") >= 2).select(F.inline(pairs)).groupBy("w1", "w2").agg(F.count("*").alias("freq"))
     terms = _terms(spark, sf_dir)
     counts = counts.join(terms.withColumnRenamed("term", "w1"), "w1", "left_semi").join(terms.withColumnRenamed("term", "w2"), "w2", "left_semi")
-    return lexical.top_followers(counts)
+    return lexical.top_followers(counts, most)
 
 
 def d6b_bigram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

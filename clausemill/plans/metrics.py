@@ -86,8 +86,8 @@ def a31_frequent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a21_tag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of codes from searches that name a term of the tag's group."""
-    logs = _logs(spark, sf_dir).filter("q is not null").select("log_id", F.lower("q").alias("q"), "c")
+    """Tags of codes from the last 500 searches that name a term of the tag's group."""
+    logs = _logs(spark, sf_dir).orderBy(F.desc("log_id")).limit(500).filter("q is not null").select("log_id", F.lower("q").alias("q"), "c")
     tagged = lexical.contained(logs.select("log_id", "q"), "q", read(spark, sf_dir, "term_map"), "term", "term_group").select("log_id", F.col("term_group").alias("tag")).distinct()
     pairs = logs.select(F.col("log_id").alias("q"), F.explode(F.array_distinct("c")).alias("code")).filter("code is not null and trim(code) <> ''")
     return ops.tag_scores(pairs, tagged.withColumnRenamed("log_id", "q"))
@@ -195,7 +195,7 @@ ORACLES = {
     "a19_clause_eval": "with r as (select distinct on (rec_id) * from read_clause_full) select clause_type, count(*) as n, count(*) filter (coalesce(length(clause_text), 0) > 0) as read, count(*) filter (coalesce(failure_reason, '') <> '') as failed, count(*) filter (coalesce(length(clause_text), 0) >= 20) as long from r group by 1",
     "a20_audit_summary": "with r as (select distinct on (item_id) * from plan_writer_citation_summary_sample) select plan_id, count(*) as n, count(*) filter (audit_status = 'pass') as pass, count(*) filter (audit_status = 'warn') as warn, count(*) filter (audit_status = 'fail') as fail, count(*) filter (len(review_reasons) > 0) as needs_review, count(*) filter (in_clause) as in_clause from r group by 1",
     "a31_frequent_queries": rf"with {_L} select lower(trim(q)) as query, count(*) as n from lg where q is not null group by 1 having count(*) >= 5 and regexp_matches(lower(trim(q)), '[一-鿿]{{4,}}') and not regexp_matches(upper(lower(trim(q))), '(GB|JGJ|CJJ|CECS|DB\d{{2}})') order by n desc, query limit 120",
-    "a21_tag_scores": f"with {_L}, tg as (select distinct log_id, term_group as tag from lg join term_map on contains(lower(q), term)), kt as (select * from (select *, row_number() over (partition by log_id order by tag) as r from tg) u where r <= 3), dfs as (select tag, count(distinct log_id) as df from kt group by tag), nq as (select count(distinct log_id) as qs from kt), pc as (select distinct log_id, unnest(c) as code from lg where q is not null), cn as (select code, tag, count(*) as n from pc join kt using (log_id) where code is not null and trim(code) <> '' group by all), sc as (select code, tag, n, round(ln(1 + n) * ln((qs + 1) / (df + 1)), 4) as score from cn join dfs using (tag), nq), rk as (select *, row_number() over (partition by code order by score desc, tag) as r from sc) select code, tag, n, score from rk where r <= 5",
+    "a21_tag_scores": f"with {_L}, lt as (select * from lg order by log_id desc limit 500), tg as (select distinct log_id, term_group as tag from lt join term_map on contains(lower(q), term)), kt as (select * from (select *, row_number() over (partition by log_id order by tag) as r from tg) u where r <= 3), dfs as (select tag, count(distinct log_id) as df from kt group by tag), nq as (select count(distinct log_id) as qs from kt), pc as (select distinct log_id, unnest(c) as code from lt where q is not null), cn as (select code, tag, count(*) as n from pc join kt using (log_id) where code is not null and trim(code) <> '' group by all), sc as (select code, tag, n, round(ln(1 + n) * ln((qs + 1) / (df + 1)), 4) as score from cn join dfs using (tag), nq), rk as (select *, row_number() over (partition by code order by score desc, tag) as r from sc) select code, tag, n, score from rk where r <= 5",
     "a23_tag_inference": "with q as (select distinct query_id, query from golden_queries where query is not null), c as (select query_id, term_group as tag, count(*) as n from q join term_map on contains(query, term) group by all), r as (select *, row_number() over (partition by query_id order by n desc, tag) as r from c) select query_id, tag, n from r where r <= 3",
     "a24_term_coverage": "with q as (select distinct query_id, query, must_include as m from golden_queries where len(must_include) > 0 and query is not null) select query_id, round(len(list_filter(m, lambda w: contains(query, w))) / len(m), 4) as share from q",
     "w14_change_only_log": "with r as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as b, row_number() over (partition by user_id order by ts, event_id) as r from events) select event_id, event_type from r where r = 1 or event_type is distinct from b",

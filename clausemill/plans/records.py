@@ -124,9 +124,20 @@ def x3_referenced_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "file", "refs", "referenced", F.round("score", 3).alias("score"))
 
 
+def k3_layered_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to golden queries in layers: state first, then how much of the question the file's name covers, then score."""
+    asked = golden_questions(spark, sf_dir)
+    found = search_plans.ops.version_penalty(search_plans._coded(search_plans.x9_hybrid_router(spark, sf_dir, asked)), read(spark, sf_dir, "standard_status")).drop("position")
+    units = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,}|[一-鿿]{2,})"), F.lit(1))), 1, 12)
+    units = F.transform(units, lambda u: F.struct(u.alias("unit"), F.when(F.length(u) >= 4, 2).otherwise(1).alias("weight")))
+    share = F.round(search_plans.ops.coverage(units, F.lower("file")), 4)
+    rows = found.join(asked, "qid").withColumn("sim", F.when(share >= 0.45, share))
+    return search_plans.ops.layered(rows).select("qid", "file", "position", "penalised", "sim")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (s4_layout_files, s5_running_files, s10_status_fields, s13_incremental_names, filter7_similar_codes, f33_project_places, f34_shifted_texts, w18_tree_depth, x31_chapter_targets, x32_reconciled, x3_referenced_golden)
+    for f in (s4_layout_files, s5_running_files, s10_status_fields, s13_incremental_names, filter7_similar_codes, f33_project_places, f34_shifted_texts, w18_tree_depth, x31_chapter_targets, x32_reconciled, x3_referenced_golden, k3_layered_golden)
 }
 
 _BLOCKS = "ix as (select distinct file as name, sid, heading from kb_search_index where heading is not null)"
@@ -134,7 +145,13 @@ _CITY = ", ".join(f"('{a}', '{b}')" for a, b in CITIES)
 _PLACE = ", ".join(f"({-1 - k}, '{t}')" for k, t in enumerate(PLACES))
 _MOVED = ", ".join(f"('{a}', '{b}')" for a, b in zip(DATES, ("6月3日-6月7日浇筑", "计划7月5日开工，7月10日完工", "3月7日至2月30日", "没有日期", "1月6日～1月7日")))
 _TARGET = ", ".join(f"('{a}', {b})" for a, b in TARGETS)
+_UNITS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}|[一-鿿]{2,}'), lambda x, i: list_position(regexp_extract_all(lower(text), '[a-z0-9]{2,}|[一-鿿]{2,}'), x) = i)[1:12]"
+_WEIGHT = "lambda x: case when length(x) >= 4 then 2 else 1 end"
 ORACLES = {
+    "k3_layered_golden": f"""with {search_plans._GOLDEN_D1}, s as (select rt.*, coalesce(t.status, 'unknown') as status from (select *, {search_plans._CODE} as code from rt) rt left join standard_status t on t.standard_code = code), p as (select *, status in ('superseded', 'abolished') as penalised, score * case status when 'superseded' then 0.65 when 'abolished' then 0.4 else 1 end as s2 from s),
+h as (select *, round(score, 6) as s3 from (select qid, file, score, penalised, row_number() over (partition by qid order by penalised, round(s2, 6) desc, file) as r, s2 from p) u where r <= 100), u as (select h.*, {_UNITS} as ds from h join qs using (qid)),
+c as (select *, round(case when len(ds) = 0 then 1.0 else coalesce(list_sum(list_transform(list_filter(ds, lambda x: contains(lower(file), x)), {_WEIGHT})), 0) / list_sum(list_transform(ds, {_WEIGHT})) end, 4) as share from u), k as (select *, case when share >= 0.45 then share end as sim from c)
+select qid, file, row_number() over (partition by qid order by penalised, sim is null, sim desc, round(s2, 6) desc, file) as position, penalised, sim from k""",
     "s4_layout_files": f"with {_BLOCKS}, t as (select name, string_agg(trim(heading), chr(10) order by sid // 10, sid, heading) filter (trim(heading) <> '') as text from ix group by name) select name, length(coalesce(text, '')) as chars, md5(coalesce(text, '')) as fingerprint from t",
     "s5_running_files": f"with {_BLOCKS} select name, count(*) as n, cast(sum(length(heading)) as bigint) as chars from ix where sid % 7 <> 6 and length(trim(heading)) >= 3 group by name",
     "s10_status_fields": "select standard_code, nullif(trim(official_code), '') as official, nullif(trim(standard_name), '') as name, nullif(trim(status), '') as state from standard_status",

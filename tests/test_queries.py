@@ -50,7 +50,7 @@ def test_agrees_with_sql(spark, duck, name):
 
 #: Searches with a walk over a lattice or readings of texts in Python; compared with brute force in test_answers.py.
 ROWS_ONLY = {
-    "d8_lattice_seeds", "d9_bridged_terms", "d10_teleport", "d13_discovered_golden", "j10_direct_tiers", "x9_routed_golden", "x11_public_search", "x11_zero_results", "x12_resolved_clauses", "x13_read_clauses", "x14_clause_records", "x15_followed_clauses",
+    "d8_lattice_seeds", "d9_bridged_terms", "d10_teleport", "d13_discovered_golden", "j10_direct_tiers", "x9_routed_golden", "x11_public_search", "x11_zero_results", "x12_resolved_clauses", "x13_read_clauses", "x14_clause_records", "x15_followed_clauses", "x39_graph_grid",
 }
 
 
