@@ -48,10 +48,10 @@ def d9_bridged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _start(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     """Teleport vectors of questions; body scores of the fifteen best files stand in for sentence vectors, which the data link to no question."""
-    terms = seeds.seeds_of(_asked_with_synonyms(spark, sf_dir, asked), _vocabulary(spark, sf_dir))
+    terms = materialise(seeds.seeds_of(_asked_with_synonyms(spark, sf_dir, asked), _vocabulary(spark, sf_dir)))
     bodies = search_plans._bodies_asked(spark, sf_dir, asked)
     first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "file"))
-    best = bodies.withColumn("r", first).filter("r <= 15")
+    best = materialise(bodies.withColumn("r", first).filter("r <= 15"))  # used several times, like the terms
     top = best.groupBy("qid").agg(F.max("score").alias("top"))
     sentences = best.join(top, "qid").select("qid", F.col("file").alias("node"), (F.col("score") / F.col("top")).alias("sim"))
     return seeds.teleport(terms, sentences=sentences)
@@ -64,7 +64,7 @@ def d10_teleport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _discovered(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     edges = graph_plans._graph(spark, sf_dir)
-    start = graph.inject_asked(_start(spark, sf_dir, asked), edges)
+    start = graph.inject_asked(materialise(_start(spark, sf_dir, asked)), edges)
     return graph.discover_asked(start, graph.matrix(edges))
 
 
@@ -89,7 +89,7 @@ def x39_graph_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat_ws("/", "setting.ratio", "setting.boost", "setting.most")
     named = built.select(name.alias("setting"), F.concat(name, F.lit("|"), "src").alias("src"), F.concat(name, F.lit("|"), "dst").alias("dst"), "to_file", "w_int")
     settings = named.select("setting").distinct()
-    start = _start(spark, sf_dir, asked).crossJoin(F.broadcast(settings)).select(F.concat("setting", F.lit("|"), "qid").alias("qid"), F.concat("setting", F.lit("|"), "node").alias("node"), "e")
+    start = materialise(_start(spark, sf_dir, asked)).crossJoin(F.broadcast(settings)).select(F.concat("setting", F.lit("|"), "qid").alias("qid"), F.concat("setting", F.lit("|"), "node").alias("node"), "e")
     found = graph.discover_asked(graph.inject_asked(start, named), graph.matrix(named))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("p", 10)), "file")
     best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= ops.RESULTS)
@@ -107,7 +107,8 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x2_hydrated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files found by title with the section shown for each."""
     found = search_plans.d4_title_lookup(spark, sf_dir, golden_questions(spark, sf_dir)).withColumns({"heading": F.lit(None).cast("string"), "pos": F.lit(None).cast("int")})
-    return ops.hydrated(found, _sections(spark, sf_dir)).select("qid", "file", "heading", "pos", F.length("text").alias("chars"), "clause_number", "tier")
+    texts = _sections(spark, sf_dir)
+    return ops.hydrated(found, materialise(texts.drop("segment")), texts).select("qid", "file", "heading", "pos", F.length("text").alias("chars"), "clause_number", "tier")
 
 
 def x2_hydrated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,8 @@ def x2_hydrated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "read_clause_full").filter("source_file <> ''").groupBy(F.col("rec_id").alias("qid")).agg(F.min("source_file").alias("file"), F.min("source_heading").alias("heading"))
     start = search_plans._index_positions(spark, sf_dir).groupBy("file").agg(F.max("pos").alias("pos"))
     found = rows.join(start, "file", "left")
-    return ops.hydrated(found, _sections(spark, sf_dir)).select("qid", "file", "heading", "pos", F.length("text").alias("chars"), "clause_number", "tier")
+    texts = _sections(spark, sf_dir)
+    return ops.hydrated(found, materialise(texts.drop("segment")), texts).select("qid", "file", "heading", "pos", F.length("text").alias("chars"), "clause_number", "tier")
 
 
 def _file_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +138,9 @@ def answered(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     asked = materialise(asked.select("qid", "text"))
     kind = asked.select("qid", ops.has_code(F.col("text")).alias("coded"), ops.is_standard_name(F.col("text")).alias("named"))
     exact, free = kind.filter("coded or named").select("qid"), kind.filter("not (coded or named)").select("qid")
-    sections = _sections(spark, sf_dir)
-    keyword = materialise(search.keyword_search(asked, sections.drop("pos")))
+    texts = _sections(spark, sf_dir)
+    sections = materialise(texts.drop("segment"))  # places alone; the texts are read twice, by keywords and for what is shown
+    keyword = materialise(search.keyword_search(asked, texts.drop("pos")))
     references = search_plans._references(spark, sf_dir)
     title = search.title_lookup(asked, read_wide(spark, sf_dir, "kb_md").select("file", "title").distinct())
     direct = direct_tiers(spark, sf_dir, asked).join(kind.filter("not named").select("qid"), "qid", "left_semi")
@@ -148,12 +151,12 @@ def answered(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
         sections, _query_tags(spark, sf_dir, asked), _file_tags(spark, sf_dir),
     )
     branches = [("title", none(title)), ("direct", none(direct, "heading")), ("keyword", none(legacy, "heading")), ("graph", none(natural, "heading"))]
-    return ops.finished(branches, references, sections, search_plans._coded)
+    return ops.finished(branches, references, sections, texts, search_plans._coded)
 
 
 def direct_tiers(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     """Clauses and standards named by code: qid, file, heading, score, source, the best tier of each question."""
-    files = materialise(search_plans._coded(read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"])))
+    files = search_plans._coded(read_wide(spark, sf_dir, "kb_md").select("file", "text").dropDuplicates(["file"]))
     index = read(spark, sf_dir, "kb_search_index").select("file", "heading", "pos", "type").distinct()
     return ops.direct_tiers(asked, search_plans._lookup(spark, sf_dir), files, index)
 
