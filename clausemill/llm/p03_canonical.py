@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clausemill.session import read
 
@@ -35,7 +35,6 @@ MOST_FAMILIES = 1000
 LETTERS_AS_DIGITS = str.maketrans("OQDILSBZG", "000115826")
 IDEOGRAPHS = re.compile(r"[㐀-鿿豈-﫿]+")
 REMARKS = re.compile(r"[(（\[【〔][^)）\]】〕]*[)）\]】〕]|第[\d.]+[条款章节]")
-PARSED = "family string, number string, name string"
 
 
 def family_of(code: str) -> tuple[str, str] | None:
@@ -165,12 +164,6 @@ def map_to_list(values: DataFrame, entries: DataFrame) -> DataFrame:
     """
     spark = entries.sparkSession
     entries = entries.select(F.col("standard_code").alias("entry"), F.col("standard_name").alias("listed")).filter("entry is not null").distinct()
-    family_column = F.udf(lambda c: (family_of(c) or (None,))[0], T.StringType())  # rows of the list only
-    families = [r.f for r in entries.select(family_column("entry").alias("f")).filter("f is not null").distinct().limit(MOST_FAMILIES + 1).collect()]
-    if len(families) > MOST_FAMILIES:
-        raise ValueError(f"more than {MOST_FAMILIES} code families")
-    pattern = code_pattern(families)
-
     def over(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         return lambda batches: map(f, batches)
 
@@ -181,10 +174,14 @@ def map_to_list(values: DataFrame, entries: DataFrame) -> DataFrame:
             name = "".join(IDEOGRAPHS.findall(REMARKS.sub("", unicodedata.normalize("NFKC", listed or "").upper())))
             name = name if len(name) >= 4 else None
             keys = [f"{f}:{g}" for g in number_grams(number) for f in (family, "")] if number else []
-            rows.append((entry, number, name, keys + [f"#{g}" for g in dict.fromkeys(thirds(name or ""))], [slot(g) for g in name_grams(name)] if name else [], sorted({len(x) for x in thirds(name or "")})))
-        return pd.DataFrame(rows, columns=["entry", "entry_number", "entry_name", "keys", "slots", "spans"])
+            rows.append((entry, family, number, name, keys + [f"#{g}" for g in dict.fromkeys(thirds(name or ""))], [slot(g) for g in name_grams(name)] if name else [], sorted({len(x) for x in thirds(name or "")})))
+        return pd.DataFrame(rows, columns=["entry", "family", "entry_number", "entry_name", "keys", "slots", "spans"])
 
-    listed = entries.mapInPandas(over(index_entries), "entry string, entry_number string, entry_name string, keys array<string>, slots array<int>, spans array<int>")
+    listed = entries.mapInPandas(over(index_entries), "entry string, family string, entry_number string, entry_name string, keys array<string>, slots array<int>, spans array<int>")
+    families = [r.family for r in listed.select("family").filter("family is not null").distinct().limit(MOST_FAMILIES + 1).collect()]
+    if len(families) > MOST_FAMILIES:
+        raise ValueError(f"more than {MOST_FAMILIES} code families")
+    pattern = code_pattern(families)
     counts = listed.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect()  # at most SLOTS rows
     size = max(1, entries.count())
     weights = np.full(SLOTS, np.log(1 + size), np.float32)
