@@ -54,6 +54,50 @@ def test_p1_learns_english_headers(spark):
     assert got[15] == (lines[1], ["broken_line"]) and got[0] == (whole[0], [])
 
 
+def test_p1_keeps_every_entry_of_a_large_vocabulary(spark):
+    """Over a million other triples, more frequent than the one that is needed, don't push it out or raise the least count."""
+    draw = random.Random(2)
+    large = ["".join(chr(draw.randrange(0x4E00, 0x9E00)) for _ in range(50_000)) for _ in range(22)]
+    key, _ = p01_scans.triples_of(large)
+    assert len(np.unique(key)) > 1_050_000
+    texts = [SENTENCES[1]] * 4 + ["构造柱应采用双面满悍连接。"] + large * 5
+    got = {r.row_id: (r.text, r.kinds) for r in p01_scans.repair(scans(spark, texts)).filter("row_id < 5").collect()}
+    assert got[4] == (SENTENCES[1], ["misread"]) and got[0] == (SENTENCES[1], [])
+
+
+def test_p1_keeps_every_opener(spark):
+    """The rarest of more than 10,000 openers still tells a header."""
+    letters = "abcdefghij"
+    names = ["Rules " + "".join(letters[k // 10**p % 10] for p in range(5)) for k in range(10_050)]
+    many = "\n".join(f"All is done.\n{name} for sealing of joints" for name in names) + "\nAll is done."
+    texts = [many] * 5 + ["All is done.\nZoning plans for sealing of joints\nAll is done."] * 4
+    got = p01_scans.repair(scans(spark, texts)).filter("row_id >= 5").collect()
+    assert {(r.text, tuple(r.kinds)) for r in got} == {("All is done.\nAll is done.", ("running_header",))} and len(got) == 4
+
+
+@pytest.mark.parametrize("part", [1_000_000, 20])
+def test_p1_table_finds_what_was_stored(spark, monkeypatch, part):
+    """Entries of a stored table, of one part or several, against the plain list: triples, words of a shape, openers, and none."""
+    monkeypatch.setattr(p01_scans, "PART_ENTRIES", part)
+    draw = random.Random(3)
+    triples = {"".join(draw.choices("|甲乙丙丁0", k=1) + draw.choices("甲乙丙丁", k=1) + draw.choices("|甲乙丙丁0", k=1)): draw.randint(4, 99) for _ in range(60)}
+    words = {"".join(draw.choices("rnmcld01oé", k=draw.randint(1, 5))): draw.randint(4, 99) for _ in range(200)}
+    words = {w: n for w, n in words.items() if not w.isdigit()}
+    tokens = [*triples.items(), *words.items(), ("^all joints", 5), ("^some drains", 4)]
+    for entries in (tokens, tokens[:1], tokens[-1:], []):
+        name, signs = p01_scans.stored(spark.createDataFrame(entries, "token string, n bigint").repartition(3))
+        table, want = p01_scans.Table(name), dict(entries)
+        reader, openers = p01_scans.Reader(table, 4, signs), p01_scans.Openers(table)
+        assert set(signs) == {t[1] for t in want if t in triples}
+        assert all(table.count(a + b + c) == want.get(a + b + c, 0) for a in "|甲戊0" for b in "甲乙戊" for c in "|甲戊0")
+        for a, c in ("甲乙", "|甲", "戊甲"):
+            near, counts = table.around(a + c)
+            assert dict(zip(map(chr, near.tolist()), counts.tolist())) == {t[1]: n for t, n in want.items() if t in triples and t[0] + t[2] == a + c}
+        assert all(reader.word_count(w) == want.get(w, 0) for w in [*words, "none"])
+        assert [o in openers for o in ("all joints", "some drains", "none here")] == ["^all joints" in want, "^some drains" in want, False]
+        assert bool(openers) == ("^some drains" in want)
+
+
 def test_p1_triples_of_batches():
     texts = ["甲乙丙", "", "第12.5节a", "丁\n戊", "甲乙丙"]
     key, owner = p01_scans.triples_of(texts)
