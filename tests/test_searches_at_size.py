@@ -36,7 +36,7 @@ def test_halves_are_rounded_as_by_sql():
     assert search.half_up(search.np.array([5.95, 0.25, 7.449999999999999, -0.25, 2.0]), {}).tolist() == [6.0, 0.3, 7.4, -0.3, 2.0]
 
 
-@pytest.mark.parametrize("name", ["x9_hybrid_golden", "x8_version_golden", "x3_authority_golden"])
+@pytest.mark.parametrize("name", ["x9_hybrid_golden", "x8_version_golden", "x3_authority_golden", "x9_routed_golden"])
 def test_every_golden_query_is_asked(spark, name):
     """Queries of any id are answered, by code and by SQL; before only those divisible by 20 were."""
     asked = {r.qid for r in all_questions(spark, DATA).select("qid").collect()}
